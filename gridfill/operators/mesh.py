@@ -327,11 +327,13 @@ def conflict_triangles(located: DataFrame, edges: DataFrame, grid: Grid) -> tupl
     """
     ratio = grid.lon_gap / grid.lat_gap
     px, py = F.col("box_x") + 0.5, (F.col("box_y") + 0.5) * ratio
-    frontier = located.select(*KEYS, "box_index", "box_x", "box_y", "tri_index", F.lit(-1).cast("long").alias("came_from"))
+    d2 = (F.col("cx") - px) * (F.col("cx") - px) + (F.col("cy") - py) * (F.col("cy") - py)
+    inside = F.coalesce(d2 < F.col("r2") * (1 - TIE), F.lit(False))
+    # Only a box right on a sample is not inside the circle of its own triangle.
+    frontier = _circle(located, ratio).where(inside).select(
+        *KEYS, "box_index", "box_x", "box_y", "tri_index", F.lit(-1).cast("long").alias("came_from"))
     conflicts, rim = None, None
     while True:
-        d2 = (F.col("cx") - px) * (F.col("cx") - px) + (F.col("cy") - py) * (F.col("cy") - py)
-        inside = F.coalesce(d2 < F.col("r2") * (1 - TIE), F.lit(False))
         step = materialize(frontier.join(edges, [*KEYS, "tri_index"])
                            .where(F.col("other_index").isNull() | (F.col("other_index") != F.col("came_from")))
                            .withColumn("inside", inside))
@@ -355,9 +357,11 @@ def natural_neighbour(located: DataFrame, triangles: DataFrame, grid: Grid) -> D
 
     What it takes from one neighbour is a convex polygon whose corners are circumcentres: of the
     conflict triangles at that neighbour, and of the box with the two rim sides at that neighbour.
-    NULL for a box on the hull, where a cell has no end.
+    A box on a sample takes its value. NULL for a box on the hull, where a cell has no end.
     """
     ratio = grid.lon_gap / grid.lat_gap
+    corner_value = F.coalesce(*[F.when((F.col(f"u{i}") == F.col("box_x") + 0.5) & (F.col(f"v{i}") == F.col("box_y") + 0.5), F.col(f"value{i}")) for i in (1, 2, 3)])
+    on_sample = located.select(*KEYS, "box_index", corner_value.alias("value")).where(F.col("value").isNotNull())
     edges = materialize(triangle_edges(triangles, grid))
     conflicts, rim = conflict_triangles(located, edges, grid)
     at = ["box_index", *KEYS]
@@ -388,4 +392,4 @@ def natural_neighbour(located: DataFrame, triangles: DataFrame, grid: Grid) -> D
     weighed = corners.withColumn("w", F.when(F.col("open") == 0, F.abs(area)))
     return weighed.groupBy(*at).agg(
         F.when(F.max("open") == 0, F.try_divide(F.sum(F.col("w") * F.col("val")), F.sum("w"))).alias("value")).select(
-        *KEYS, "box_index", "value")
+        *KEYS, "box_index", "value").unionByName(on_sample)
