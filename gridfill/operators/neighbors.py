@@ -9,7 +9,8 @@ looks at is decided on cell counts alone, which are far smaller than samples and
    counts and keeps every cell that could hold anything nearer.
 4. Target cells that would still see too many pairs are split into quarters, together with the cells
    they look at, and pruned again. Nothing is dropped: pruning only removes cells that provably hold no neighbour.
-5. One join, one top-k.
+5. The samples of those cells are gathered once per target cell and joined to its targets, and each
+   target sorts what it was given.
 """
 
 from __future__ import annotations
@@ -105,13 +106,9 @@ def _bounds_between(grid: Grid, metric: str) -> tuple[Column, Column]:
 
 
 def cell_counts(samples: DataFrame, base: int, top: int) -> DataFrame:
-    """Samples per cell at every level. The finest level is counted once, the others add it up."""
-    fine = samples.groupBy(*KEYS, _cell(F.col("u"), base).alias("cx"), _cell(F.col("v"), base).alias("cy")).agg(
-        F.count("*").alias("n"))
-    level = F.explode(F.sequence(F.lit(base), F.lit(top)))
-    return (fine.withColumn("level", level)
-            .groupBy(*KEYS, "level", _up(F.col("cx"), F.col("level"), base).alias("cx"),
-                     _up(F.col("cy"), F.col("level"), base).alias("cy")).agg(F.sum("n").alias("n")))
+    """Samples per cell at every level, in one shuffle of map-side combined counts."""
+    cells = _at_levels(samples.select(*KEYS, "u", "v"), F.sequence(F.lit(base), F.lit(top)), "cx", "cy")
+    return cells.groupBy(*KEYS, "level", "cx", "cy").agg(F.count("*").alias("n"))
 
 
 def _home_levels(targets: DataFrame, counts: DataFrame, need: int, base: int, top: int, exact: bool) -> DataFrame:
@@ -127,13 +124,14 @@ def _home_levels(targets: DataFrame, counts: DataFrame, need: int, base: int, to
     climbed = cells.withColumn("level", F.explode(F.sequence(F.lit(base), F.lit(top)))).withColumns({
         "tcx": _up(F.col("x0"), F.col("level"), base), "tcy": _up(F.col("y0"), F.col("level"), base)})
     hit = climbed.join(ring, [*KEYS, "level", "tcx", "tcy"], "left")
-    rings = F.collect_list(F.struct("level", F.coalesce("ring_n", F.lit(0)).alias("ring_n")))   # one entry per level
-    chosen = hit.groupBy(*KEYS, "x0", "y0").agg(
-        F.first("nt").alias("nt"), F.min(F.when(F.col("ring_n") >= need, F.col("level"))).alias("home"), rings.alias("_r"))
+    n_at = {lv: F.max(F.when(F.col("level") == lv, F.col("ring_n"))).alias(f"_n{lv}") for lv in range(base, top + 1)}
+    wide = hit.groupBy(*KEYS, "x0", "y0").agg(F.first("nt").alias("nt"), *n_at.values())
+    home = F.coalesce(*[F.when(F.col(f"_n{lv}") >= need, F.lit(lv)) for lv in range(base, top + 1)])
     if exact:   # fewer samples than k in all: look at everything there is
-        chosen = chosen.withColumn("home", F.coalesce("home", F.lit(top)))
-    wide = F.array_max(F.transform(F.filter("_r", lambda r: r["level"] <= F.col("home") + 2), lambda r: r["ring_n"]))
-    return chosen.where(F.col("home").isNotNull()).withColumn("most", wide).drop("_r")
+        home = F.coalesce(home, F.lit(top))
+    most = F.coalesce(*[F.when(F.col("home") == lv, F.col(f"_n{min(lv + 2, top)}")) for lv in range(base, top + 1)], F.lit(0))
+    return (wide.withColumn("home", home).where(F.col("home").isNotNull()).withColumn("most", most)
+            .select(*KEYS, "x0", "y0", "nt", "home", "most"))
 
 
 def _prune(relation: DataFrame, grid: Grid, k: int, metric: str) -> DataFrame:
@@ -236,11 +234,13 @@ def plan_cells(targets: DataFrame, samples: DataFrame, grid: Grid, k: int, *, me
 
 # ---------------------------------------------------------------- searches
 
-def candidate_pairs(targets: DataFrame, samples: DataFrame, grid: Grid, k: int, *, metric: str = "degrees",
-                    exact: bool = True, need: int | None = None, start_level: int = 1,
-                    max_pairs: int = MAX_PAIRS) -> tuple[DataFrame, list[str]]:
-    """Targets joined with the samples of the cells they look at, with dist; and the target key columns."""
-    target_cols = [c for c in targets.columns if c not in ("u", "v")]
+def _with_candidates(targets: DataFrame, samples: DataFrame, grid: Grid, k: int, *, metric: str, exact: bool,
+                     need: int, start_level: int, max_pairs: int) -> DataFrame:
+    """Targets (with u, v) and `cands`: all samples of the cells their target cell looks at.
+
+    The array is built once per target cell, not per target, so (target, sample) pairs are never shuffled.
+    Splitting keeps an array below max_pairs / number of targets of its cell.
+    """
     placed_t = _place(targets, grid, "box_lat", "box_lon")
     placed_s = _place(samples.where(F.col("value").isNotNull()), grid, "lat", "lon").select(
         *KEYS, "index", "lat", "lon", "value", "u", "v")
@@ -249,7 +249,7 @@ def candidate_pairs(targets: DataFrame, samples: DataFrame, grid: Grid, k: int,
         stack = Window.partitionBy(*KEYS, "u", "v").orderBy("index")
         placed_s = placed_s.withColumn("_rn", F.row_number().over(stack)).where(F.col("_rn") <= k).drop("_rn")
     at_home, relation, used = plan_cells(placed_t, placed_s, grid, k, metric=metric, exact=exact,
-                                         need=need if need is not None else k, start_level=start_level, max_pairs=max_pairs)
+                                         need=need, start_level=start_level, max_pairs=max_pairs)
     levels = sorted({lv for _, lv in used}) or [start_level]
     if all(h == lv for h, lv in used):
         found = at_home.withColumn("level", F.col("home")).withColumns({
@@ -258,33 +258,38 @@ def candidate_pairs(targets: DataFrame, samples: DataFrame, grid: Grid, k: int,
         found = _at_levels(at_home, _levels_of_home(used), "tcx", "tcy").join(
             relation.select(*KEYS, *T_CELL).distinct(), [*KEYS, *T_CELL], "left_semi")
     s_at = _at_levels(placed_s, F.array(*[F.lit(lv) for lv in levels]), "scx", "scy")
+    entry = F.struct(F.col("u").alias("su"), F.col("v").alias("sv"), "index", "lat", "lon", "value")
     seen = (relation.select(*KEYS, *T_CELL, "scx", "scy").join(s_at, [*KEYS, *S_CELL])
-            .select(*KEYS, *T_CELL, "index", "lat", "lon", "value", F.col("u").alias("su"), F.col("v").alias("sv")))
-    dist = euclidean((F.col("su") - F.col("u")) * F.lit(grid.lat_gap), (F.col("sv") - F.col("v")) * F.lit(grid.lon_gap))
-    if metric == "alpha":
-        dist = alpha(F.col("lat")) * dist
-    pairs = found.join(seen, [*KEYS, *T_CELL]).withColumn("dist", dist)
-    # The join left pairs clustered by the cell, so a top-k per box needs no further shuffle; the box
-    # number leads because it sorts fastest.
-    keys = ["box_index", "tcx", "tcy", "level", "home", *KEYS]
-    rest = [c for c in target_cols if c not in keys]
-    return pairs.select(*keys, *rest, "dist", "index", "lat", "lon", "value"), keys
+            .groupBy(*KEYS, *T_CELL).agg(F.collect_list(entry).alias("cands")))
+    return found.join(seen, [*KEYS, *T_CELL])
 
 
 def knn(targets: DataFrame, samples: DataFrame, grid: Grid, k: int, *, metric: str = "degrees", exact: bool = True,
         need: int | None = None, start_level: int = 1, max_pairs: int = MAX_PAIRS) -> DataFrame:
     """Targets with `neighbors`: up to k samples of the same dataset and feature, nearest first.
 
-    `targets`: datasetName, name, box_lat, box_lon and any further columns (box_x, box_y for box centres).
+    `targets`: datasetName, name, box_index, box_lat, box_lon and any further columns (box_x, box_y for box centres).
     `samples`: datasetName, name, index, lat, lon, value (box_x, box_y for box values).
     exact=True gives the true k nearest; exact=False the nearest within the first ring, from
     `start_level` upwards, that holds `need` samples. Targets with no such ring get an empty array.
     """
     target_cols = [c for c in targets.columns if c not in ("u", "v")]
     need = need if need is not None else k
-    pairs, keys = candidate_pairs(targets, samples, grid, k, metric=metric, exact=exact, need=need,
-                                  start_level=start_level, max_pairs=max_pairs)
-    found = collect_neighbours(pairs, keys, k).select(*target_cols, "neighbors")
+    cands = _with_candidates(targets, samples, grid, k, metric=metric, exact=exact, need=need,
+                             start_level=start_level, max_pairs=max_pairs)
+
+    def distance(c: Column) -> Column:
+        d = euclidean((c["su"] - F.col("u")) * F.lit(grid.lat_gap), (c["sv"] - F.col("v")) * F.lit(grid.lon_gap))
+        return alpha(c["lat"]) * d if metric == "alpha" else d
+
+    order = F.sort_array(F.transform("cands", lambda c, i: F.named_struct(
+        F.lit("dist"), distance(c), F.lit("index"), c["index"], F.lit("at"), i)))
+    nearest = F.transform(F.slice(order, 1, k), lambda o: F.named_struct(
+        F.lit("dist"), o["dist"], F.lit("index"), o["index"],
+        *[x for f in ("lat", "lon", "value") for x in (F.lit(f), F.get("cands", o["at"])[f])]))
+    # explode of a one-element array: later filters and projections on `neighbors` must not be merged into
+    # this projection, where Catalyst would repeat the sort for each of their references.
+    found = cands.select(*target_cols, F.explode(F.array(nearest)).alias("neighbors"))
     # The coarsest ring covers the whole grid, so only features with too few samples are left out.
     enough = (samples.where(F.col("value").isNotNull()).groupBy(*KEYS).agg(F.count("*").alias("_n"))
               .where(F.col("_n") >= (1 if exact else need)).select(*KEYS))
