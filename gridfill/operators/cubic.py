@@ -19,7 +19,7 @@ from gridfill.session import materialize
 
 KEYS = ["datasetName", "name"]
 RHO = 0.5               # one Jacobi sweep at least halves the error, on any mesh
-CUT_EVERY = 5           # sweeps between two materialisations
+CUT_EVERY = 6           # sweeps between two materialisations
 
 
 def _sides(triangles: DataFrame, ratio: float) -> DataFrame:
@@ -32,7 +32,7 @@ def _sides(triangles: DataFrame, ratio: float) -> DataFrame:
     return triangles.select(*KEYS, pairs.alias("_p")).select(*KEYS, "_p.*").dropDuplicates([*KEYS, "i", "j"])
 
 
-def vertex_slopes(triangles: DataFrame, grid: Grid, tolerance: float = 1e-8) -> DataFrame:
+def vertex_slopes(triangles: DataFrame, grid: Grid, tolerance: float = 1e-6) -> DataFrame:
     """Slopes (gx, gy) per sample: (keys, index, gx, gy), x = rows, y = columns in units of the row step.
 
     Chebyshev-accelerated Jacobi sweeps. The sweep's contraction is known, so the number of sweeps
@@ -60,17 +60,13 @@ def vertex_slopes(triangles: DataFrame, grid: Grid, tolerance: float = 1e-8) ->
     omega = 2.0
     for sweep in range(1, math.ceil(math.log(tolerance) / math.log(rate)) + 1):
         omega = 1 / (1 - RHO * RHO / 2) if sweep == 1 else 1 / (1 - RHO * RHO * omega / 4)
-        along = F.col("ex") * F.col("gx") + F.col("ey") * F.col("gy")
-        moved = links.join(state.select(*KEYS, F.col("i").alias("j"), "gx", "gy"), [*KEYS, "j"]).select(
-            *KEYS, "i", (F.col("lx") * along).alias("sx"), (F.col("ly") * along).alias("sy"))
-        zero = F.lit(0.0)
-        parts = (moved.select(*KEYS, "i", "sx", "sy", *[zero.alias(c) for c in ("bx", "by", "gx", "gy", "px", "py")])
-                 .unionByName(state.select(*KEYS, "i", F.col("bx").alias("sx"), F.col("by").alias("sy"), "bx", "by", "gx", "gy", "px", "py")))
+        moved = links.join(state.selectExpr(*KEYS, "i AS j", "gx", "gy"), [*KEYS, "j"]).selectExpr(
+            *KEYS, "i", "lx * (ex * gx + ey * gy) AS sx", "ly * (ex * gx + ey * gy) AS sy",
+            *[f"0D AS {c}" for c in ("bx", "by", "gx", "gy", "px", "py")])
+        parts = moved.unionByName(state.selectExpr(*KEYS, "i", "bx AS sx", "by AS sy", "bx", "by", "gx", "gy", "px", "py"))
         summed = parts.groupBy(*KEYS, "i").agg(*[F.sum(c).alias(c) for c in ("sx", "sy", "bx", "by", "gx", "gy", "px", "py")])
-        state = summed.select(
-            *KEYS, "i", "bx", "by", (omega * (F.col("sx") - F.col("px")) + F.col("px")).alias("nx"),
-            (omega * (F.col("sy") - F.col("py")) + F.col("py")).alias("ny"), F.col("gx").alias("px"), F.col("gy").alias("py")
-        ).withColumnsRenamed({"nx": "gx", "ny": "gy"})
+        state = summed.selectExpr(*KEYS, "i", "bx", "by", f"{omega!r}D * (sx - px) + px AS gx", f"{omega!r}D * (sy - py) + py AS gy",
+                                  "gx AS px", "gy AS py")
         if sweep % CUT_EVERY == 0:
             state = materialize(state)
     return state.select(*KEYS, F.col("i").alias("index"), "gx", "gy")
@@ -119,7 +115,7 @@ def cubic_patch(xy: np.ndarray, f: np.ndarray, g: np.ndarray, across: np.ndarray
     return out
 
 
-def minimum_curvature(triangles: DataFrame, grid: Grid, tolerance: float = 1e-8) -> DataFrame:
+def minimum_curvature(triangles: DataFrame, grid: Grid, tolerance: float = 1e-6) -> DataFrame:
     """Value of every box inside the hull: (keys, box_index, value)."""
     ratio = grid.lon_gap / grid.lat_gap
     slopes = materialize(vertex_slopes(triangles, grid, tolerance))

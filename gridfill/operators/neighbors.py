@@ -83,10 +83,10 @@ def _up(cell: Column, level: Column, base: int) -> Column:
     return F.floor(cell / F.pow(F.lit(2.0), level - F.lit(base))).cast("long")
 
 
-def _offsets(reach_x: int, reach_y: int) -> Column:
-    return F.explode(F.array(*[
-        F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy"))
-        for dx in range(-reach_x, reach_x + 1) for dy in range(-reach_y, reach_y + 1)]))
+def cell_offsets(reach_x: int, reach_y: int) -> Column:
+    """Generator of every (dx, dy) up to the reach; folded to a constant by the optimizer."""
+    return F.expr(f"""explode(flatten(transform(sequence(-{reach_x}L, {reach_x}L), dx ->
+        transform(sequence(-{reach_y}L, {reach_y}L), dy -> named_struct('dx', dx, 'dy', dy)))))""")
 
 
 def _bounds_between(grid: Grid, metric: str) -> tuple[Column, Column]:
@@ -117,19 +117,20 @@ def _home_levels(targets: DataFrame, counts: DataFrame, need: int, base: int, to
     `most` bounds the samples any of their targets can meet: the ring two levels up (four times as
     wide) covers every cell within reach of the search.
     """
-    ring = (counts.withColumn("_o", _offsets(1, 1))
+    ring = (counts.withColumn("_o", cell_offsets(1, 1))
             .groupBy(*KEYS, "level", (F.col("cx") + F.col("_o.dx")).alias("tcx"), (F.col("cy") + F.col("_o.dy")).alias("tcy"))
             .agg(F.sum("n").alias("ring_n")))
     cells = targets.groupBy(*KEYS, "x0", "y0").agg(F.count("*").alias("nt"))
     climbed = cells.withColumn("level", F.explode(F.sequence(F.lit(base), F.lit(top)))).withColumns({
         "tcx": _up(F.col("x0"), F.col("level"), base), "tcy": _up(F.col("y0"), F.col("level"), base)})
     hit = climbed.join(ring, [*KEYS, "level", "tcx", "tcy"], "left")
-    n_at = {lv: F.max(F.when(F.col("level") == lv, F.col("ring_n"))).alias(f"_n{lv}") for lv in range(base, top + 1)}
-    wide = hit.groupBy(*KEYS, "x0", "y0").agg(F.first("nt").alias("nt"), *n_at.values())
-    home = F.coalesce(*[F.when(F.col(f"_n{lv}") >= need, F.lit(lv)) for lv in range(base, top + 1)])
-    if exact:   # fewer samples than k in all: look at everything there is
-        home = F.coalesce(home, F.lit(top))
-    most = F.coalesce(*[F.when(F.col("home") == lv, F.col(f"_n{min(lv + 2, top)}")) for lv in range(base, top + 1)], F.lit(0))
+    levels = range(base, top + 1)
+    wide = hit.groupBy(*KEYS, "x0", "y0").agg(
+        F.first("nt").alias("nt"), *[F.expr(f"max(CASE WHEN level = {lv} THEN ring_n END) AS _n{lv}") for lv in levels])
+    first = ", ".join(f"CASE WHEN _n{lv} >= {need} THEN {lv} END" for lv in levels)
+    # exact: with fewer samples than k in all, look at everything there is
+    home = F.expr(f"coalesce({first}{f', {top}' if exact else ''})")
+    most = F.expr(f"coalesce({', '.join(f'CASE WHEN home = {lv} THEN _n{min(lv + 2, top)} END' for lv in levels)}, 0L)")
     return (wide.withColumn("home", home).where(F.col("home").isNotNull()).withColumn("most", most)
             .select(*KEYS, "x0", "y0", "nt", "home", "most"))
 
@@ -203,7 +204,7 @@ def plan_cells(targets: DataFrame, samples: DataFrame, grid: Grid, k: int, *, me
     cells = homes.groupBy(*KEYS, "home", _up(F.col("x0"), F.col("home"), start_level).alias("tcx"),
                           _up(F.col("y0"), F.col("home"), start_level).alias("tcy")).agg(F.sum("nt").alias("nt"))
     reach = _reach(grid, metric) if exact else (1, 1)
-    around = cells.withColumn("_o", _offsets(*reach)).select(
+    around = cells.withColumn("_o", cell_offsets(*reach)).select(
         *KEYS, "home", F.col("home").alias("level"), "tcx", "tcy", "nt",
         (F.col("tcx") + F.col("_o.dx")).alias("scx"), (F.col("tcy") + F.col("_o.dy")).alias("scy"))
     relation = around.join(counts.withColumnsRenamed({"cx": "scx", "cy": "scy"}), [*KEYS, *S_CELL])
@@ -304,7 +305,7 @@ def ring_members(targets: DataFrame, samples: DataFrame, ratio: int) -> DataFram
     The samples are copied to the nine cells that see them, so one equi join serves all targets.
     """
     cell = lambda c: F.floor(F.col(c) / F.lit(ratio))
-    spread = (samples.withColumn("_o", _offsets(1, 1))
+    spread = (samples.withColumn("_o", cell_offsets(1, 1))
               .select(*KEYS, (cell("box_x") + F.col("_o.dx")).alias("px"), (cell("box_y") + F.col("_o.dy")).alias("py"),
                       "index", "lat", "lon", "value"))
     return targets.withColumns({"px": cell("box_x"), "py": cell("box_y")}).join(spread, [*KEYS, "px", "py"]).drop("px", "py")
@@ -314,7 +315,7 @@ def window_members(targets: DataFrame, samples: DataFrame, radius: int) -> DataF
     """(target box, sample) pairs no more than `radius` boxes apart on either axis."""
     renamed = samples.withColumnsRenamed({"box_x": "sample_x", "box_y": "sample_y"})
     cell = lambda c: F.floor(F.col(c) / F.lit(radius))
-    spread = (renamed.withColumn("_o", _offsets(1, 1))
+    spread = (renamed.withColumn("_o", cell_offsets(1, 1))
               .select(*KEYS, (cell("sample_x") + F.col("_o.dx")).alias("px"), (cell("sample_y") + F.col("_o.dy")).alias("py"),
                       "sample_x", "sample_y", "index", "lat", "lon", "value"))
     near = (F.abs(F.col("sample_x") - F.col("box_x")) <= radius) & (F.abs(F.col("sample_y") - F.col("box_y")) <= radius)

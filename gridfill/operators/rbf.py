@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfill.operators.grid import Grid
-from gridfill.operators.neighbors import knn
+from gridfill.operators.neighbors import cell_offsets, knn
 from gridfill.operators.solvers import RBF_FUNCTIONS, local_rbf, rbf_predict
 from gridfill.session import materialize
 
@@ -23,10 +23,6 @@ def _wendland(t):
     return F.when(t < 1, F.pow(1 - t, F.lit(4.0)) * (4 * t + 1)).otherwise(F.lit(0.0))
 
 
-def _around():
-    return F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-
-
 def tiled_rbf(targets: DataFrame, samples: DataFrame, grid: Grid, function: str = "multiquadric", tile: int = 8) -> DataFrame:
     """RBF value of each target box: (target columns, value).
 
@@ -47,11 +43,11 @@ def tiled_rbf(targets: DataFrame, samples: DataFrame, grid: Grid, function: str
         least = 1
     else:
         tx, ty = F.floor(F.col("box_x") / tile), F.floor(F.col("box_y") / tile)
-        spread_s = known.withColumn("_o", _around()).select(
-            *KEYS, (tx + F.col("_o.i")).alias("tx"), (ty + F.col("_o.j")).alias("ty"), "box_x", "box_y", "value")
+        spread_s = known.withColumn("_o", cell_offsets(1, 1)).select(
+            *KEYS, (tx + F.col("_o.dx")).alias("tx"), (ty + F.col("_o.dy")).alias("ty"), "box_x", "box_y", "value")
         off = lambda c, t: F.abs(F.col(c) + 0.5 - (F.col(t) + 0.5) * tile) / tile
-        spread_t = (targets.withColumn("_o", _around()).select(
-            *KEYS, (tx + F.col("_o.i")).alias("tx"), (ty + F.col("_o.j")).alias("ty"), "box_x", "box_y", "box_index")
+        spread_t = (targets.withColumn("_o", cell_offsets(1, 1)).select(
+            *KEYS, (tx + F.col("_o.dx")).alias("tx"), (ty + F.col("_o.dy")).alias("ty"), "box_x", "box_y", "box_index")
             .withColumn("w", _wendland(off("box_x", "tx")) * _wendland(off("box_y", "ty"))).where(F.col("w") > 0))
         least = MIN_SAMPLES
     gaps = (grid.lat_gap, grid.lon_gap)

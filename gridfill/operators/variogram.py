@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfill.operators.grid import Grid
+from gridfill.operators.neighbors import cell_offsets
 from gridfill.operators.solvers import PARAMETER_COUNT, VARIOGRAM_MODELS, semivariance
 
 KEYS = ["datasetName", "name"]
@@ -45,11 +46,10 @@ def empirical_variogram(means: DataFrame, grid: Grid, max_lag: float, n_lags: in
         return pd.DataFrame({"datasetName": str(pdf["datasetName"].iloc[0]), "name": str(pdf["name"].iloc[0]),
                              "lag": used.astype(np.int64), "s_dist": dist[used], "s_gamma": gamma[used], "n": count[used]})
 
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     tx, ty = F.floor(F.col("box_x") / wide_x), F.floor(F.col("box_y") / wide_y)
-    spread = means.where(F.col("value").isNotNull()).withColumn("_o", around).select(
-        *KEYS, (tx + F.col("_o.i")).alias("tx"), (ty + F.col("_o.j")).alias("ty"),
-        ((F.col("_o.i") == 0) & (F.col("_o.j") == 0)).alias("own"), "index", "box_x", "box_y", "value")
+    spread = means.where(F.col("value").isNotNull()).withColumn("_o", cell_offsets(1, 1)).select(
+        *KEYS, (tx + F.col("_o.dx")).alias("tx"), (ty + F.col("_o.dy")).alias("ty"),
+        ((F.col("_o.dx") == 0) & (F.col("_o.dy") == 0)).alias("own"), "index", "box_x", "box_y", "value")
     tiles = spread.groupBy(*KEYS, "tx", "ty").applyInPandas(
         add_up, "datasetName string, name string, lag long, s_dist double, s_gamma double, n long")
     return tiles.groupBy(*KEYS, "lag").agg(F.sum("n").alias("n"), F.sum("s_dist").alias("_d"), F.sum("s_gamma").alias("_g")).select(

@@ -616,7 +616,7 @@ def o3(spark, sf):
 
 @query("u1_offsets_union", with_(oracle.prelude(), "SELECT name, index, CAST(bx//4+dx AS BIGINT) AS px, CAST(gy//4+dy AS BIGINT) AS py FROM means, unnest([-1,0,1]) AS u(dx), unnest([-1,0,1]) AS w(dy)"))
 def u1(spark, sf):
-    spread = gr.parent_box(base.order_means(spark, sf), 4).withColumn("_o", neighbors._offsets(1, 1))
+    spread = gr.parent_box(base.order_means(spark, sf), 4).withColumn("_o", neighbors.cell_offsets(1, 1))
     return spread.select("name", "index", (F.col("parent_x") + F.col("_o.dx")).cast("long").alias("px"), (F.col("parent_y") + F.col("_o.dy")).cast("long").alias("py"))
 
 
