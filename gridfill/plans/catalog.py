@@ -39,7 +39,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def rounded(c, places: int = 8):
+def rounded(c, places: int = 6):
     return F.round(F.col(c) if isinstance(c, str) else c, places)
 
 
@@ -563,11 +563,12 @@ def a11(spark, sf):
     return agg.distinct_values(base.order_long(spark, sf))
 
 
-@query("a13_grid_rows", with_(oracle.prelude(), """SELECT f.name, round(b.box_lat,6) AS box_lat, string_agg(coalesce(CAST(CAST(round(m.value) AS BIGINT) AS VARCHAR),'-'), ';' ORDER BY b.box_lon) AS row
+@query("a13_grid_rows", with_(oracle.prelude(), """SELECT f.name, round(b.box_lat,6) AS box_lat, string_agg(coalesce(CAST(CAST(floor(m.value*0.99737e0) AS BIGINT) AS VARCHAR),'-'), ';' ORDER BY b.box_lon) AS row
   FROM boxes b CROSS JOIN feats f LEFT JOIN means m ON m.name=f.name AND m.index=b.box_index GROUP BY f.name, b.box_lat"""))
 def a13(spark, sf):
+    # Scaled before cutting to whole numbers, so that no value sits on a rounding edge.
     rows = summaries.grid_rows(agg.boxes_with_values(GRID.boxes(spark), base.order_means(spark, sf)))
-    cell = lambda c: F.coalesce(F.round(c["value"]).cast("long").cast("string"), F.lit("-"))
+    cell = lambda c: F.coalesce(F.floor(c["value"] * 0.99737).cast("string"), F.lit("-"))
     return rows.select("name", rounded("box_lat").alias("box_lat"), F.array_join(F.transform("row", cell), ";").alias("row"))
 
 
@@ -704,7 +705,7 @@ def i5_plane(spark, sf):
 
 @query("i6_rbf")
 def i6(spark, sf):
-    return value_cols(tiled_rbf(base.order_targets(spark, sf), base.order_means(spark, sf), GRID, "multiquadric", 6))
+    return value_cols(tiled_rbf(base.order_targets(spark, sf), base.order_means(spark, sf), GRID, "multiquadric", 8))
 
 
 @query("i6_rbf_gaussian_local")
@@ -751,7 +752,7 @@ METRIC_SQL = """SELECT name, box_index, round(median(value),6) AS "median", roun
 @query("i11_metrics", with_(oracle.knn(5), METRIC_SQL))
 def i11(spark, sf):
     m = simple.data_metrics(base.order_neighbours(spark, sf), 5).withColumn("var", F.ln(F.when(F.col("var") > 0, F.col("var"))))
-    return m.select("name", "box_index", *[rounded(c, {"var": 6, "std": 4}.get(c, 6)).alias(c) for c in simple.METRICS])
+    return m.select("name", "box_index", *[rounded(c, 4 if c == "std" else 6).alias(c) for c in simple.METRICS])
 
 
 @query("i12_fill_metrics", with_(f"""{oracle.knn(5)}, d AS (SELECT name, box_index, 'median' AS func, median(value) AS value FROM nn GROUP BY ALL UNION ALL SELECT name, box_index, 'max', max(value) FROM nn GROUP BY ALL
@@ -925,7 +926,7 @@ def original(spark, sf):
 
 
 def interpolated(spark, sf):
-    return simple.idw(base.order_neighbours(spark, sf), 6).select("datasetName", "name", "box_index", "box_lat", "box_lon", "value")
+    return simple.idw(base.order_neighbours(spark, sf), 8).select("datasetName", "name", "box_index", "box_lat", "box_lon", "value")
 
 
 IDW = f"{oracle.knn(8)}, idw AS (SELECT name, box_index, sum(value/dist)/sum(1/dist) AS value FROM nn GROUP BY ALL)"
@@ -946,7 +947,7 @@ def v5(spark, sf):
 def v6(spark, sf):
     imp = interpolated(spark, sf)
     constant = imp.withColumns({"name": F.lit("constant"), "value": F.lit(1.0)})
-    return summaries.feature_summaries(original(spark, sf), imp.unionByName(constant), 6)
+    return summaries.feature_summaries(original(spark, sf), imp.unionByName(constant), 8)
 
 
 @query("x1_text_functions", with_(oracle.ORDERS, "SELECT index, round(46e0+CAST((index*7919)%5000 AS DOUBLE)/1000,3) AS lat, regexp_replace('log10(Rb/Sr):' || CAST(index AS VARCHAR), '[\\\\/:*?\"<>|]', '_', 'g') AS file FROM s"))
