@@ -1,6 +1,6 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-All methods fill the 2 km grid of the order samples (70,640 boxes, two features). `prepare` builds box means
+All methods fill the 2 km grid of the order samples (71,724 boxes, two features). `prepare` builds box means
 and the list of empty boxes from the raw table; the methods start from those two tables, as they do in a
 pipeline. Each method's time includes its neighbour search, mesh or variogram.
 """
