@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_FALLBACK_DIR: str | None = None
 
+def build_session(app: str = "gridfill", master: str | None = None, checkpoint: str | None = None, **conf: str) -> SparkSession:
+    """A session with AQE, skew-join handling, Arrow and UTC switched on; `conf` overrides.
 
-def build_session(app: str = "gridfill", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with AQE, skew-join handling, Arrow and UTC switched on; `conf` overrides."""
+    `checkpoint` is the shared folder for intermediate tables (`spark.checkpoint.dir`); every executor must see it.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    if checkpoint:
+        builder = builder.config("spark.checkpoint.dir", checkpoint)
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -31,14 +36,31 @@ def build_session(app: str = "gridfill", master: str | None = None, **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
-    global _FALLBACK_DIR
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder named by spark.checkpoint.dir.
+
+    Where it is unset, a one-process session (master `local`) uses a folder of its own in its warehouse, removed when the
+    process ends; any other master is an error, because its executors would not see such a folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
-    if _FALLBACK_DIR is None:
-        _FALLBACK_DIR = tempfile.mkdtemp(prefix="gridfill-ckpt-")
-    return _FALLBACK_DIR
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+    folder = os.path.join("/" + warehouse.lstrip("/"), f"gridfill-{spark.sparkContext.applicationId}")
+    if folder not in _OWN:
+        _OWN.add(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
+_OWN: set[str] = set()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder that holds all intermediate tables of this application."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/gridfill/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -48,6 +70,26 @@ def materialize(df: DataFrame) -> DataFrame:
     size of the table, so it broadcasts a side only when that size is known to be small.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/gridfill/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gridfill_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table that `materialize` returned, once nothing reads it any more."""
+    path = getattr(df, "_gridfill_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every intermediate table of this application; results that still read them must be written first."""
+    _delete(spark, run_folder(spark))
