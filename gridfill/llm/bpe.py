@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from gridfill.llm.packing import WHITE, byte_letters
 from gridfill.llm.words import WordTable, joined, slices
@@ -135,19 +136,19 @@ class WordEndCoder:
         self.numerals = pa.array([f" {i}" for i in range(len(self.tokens))])
         longest = sorted(added, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest or ["(?!)"])) + ")").split
-        pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.pieces, self.pieces_at = pattern.findall, pattern.finditer
+        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        self.tokenizer, self.byte = Tokenizer.from_str(vocabulary), {c: b for b, c in enumerate(letters)}
         self.table = WordTable(self.columns)
 
     def words(self, run: str) -> list[str]:
         """Words of a run that has neither white space nor special tokens."""
         if run.isascii():
             return self.pieces(run.lower())
+        if any(unicodedata.category(c) == "Cn" for c in run):  # newer than Python's tables: the vocabulary's own rules
+            words = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(run))
+            return [bytes(self.byte[c] for c in w).decode() for w, _ in words]
         # Lower case letter by letter: at the end of a word, too, sigma has its usual form.
-        run = unicodedata.normalize("NFC", run).replace("Σ", "σ").lower()
-        # The unassigned end of plane 3 holds no letters, whatever the tables of this regex library say.
-        plain = UNASSIGNED("\uffff", run)
-        return [run[m.start() : m.end()] for m in self.pieces_at(plain)]
+        return self.pieces(unicodedata.normalize("NFC", run).replace("Σ", "σ").lower())
 
     def ids(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all runs in one array, and how many each has."""
@@ -200,7 +201,6 @@ class WordEndCoder:
 
 
 SPACES = "[" + WHITE.replace(" ", "") + "]"
-UNASSIGNED = re.compile("[\U000323b0-\U0003ffff]").sub
 _WORKER: dict[int, WordEndCoder] = {}
 
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfill.llm import bpe, packing
+from gridfill.llm import bpe, licenses, line_rules, packing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,26 @@ def _vocabulary(name: str) -> str:
         return f.read()
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("matches")
+
+
+def held_out(key: str = "doc_id") -> Column:
+    """Rows that no model may learn from."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
+
+
+def toxic_lexicon(docs: DataFrame, labels: DataFrame) -> toxicity.Lexicon:
+    return toxicity.learn(docs, labels.filter(~held_out()))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.scored(docs, toxic_lexicon(docs, _table(spark, sf_dir, "labels")), "tox")
+    predicted = (F.col("tox.score") >= 0.5).cast("int")
+    return found.select("doc_id", held_out().alias("held_out"), F.col("tox.score").alias("score"), predicted.alias("predicted"), F.size("tox.terms").alias("n_terms"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return bpe.encode_decode(docs, _vocabulary("word_bpe_49k.json"), bpe.with_digests, ("ids_sha256", "decoded_sha256"))
@@ -28,5 +48,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op5_packing)}
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_lines"]
+    return line_rules.judge(_table(spark, sf_dir, "documents")).select(*names)
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op3_toxicity, op4_bpe, op5_packing, op9_line_rules)}
 ORACLES: dict[str, str] = {}
