@@ -39,9 +39,15 @@ FOLD = {ord(a): b for a, b in (LOOKALIKES | LEET).items()} | WIDE
 #: Phrases in which a term is harmless, beside those that are learned.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "circus clown")
 
+#: Standard errors that a term's log-odds must be above zero.
+SURE = 3.3
+#: Least log-odds of a term.
+LEAST_WEIGHT = 4.0
 #: Most labelled rows, most terms, most exceptions.
 ROWS, TERMS, PHRASES = 40_000, 2_000, 2_000
 WORDS = re.compile(r"[^\W_][^\s]*[^\W_]|[^\W_]").findall
+#: Letters of a stem. A term that ends in OPEN is a stem: the word may go on.
+STEM, OPEN = range(4, 9), "*"
 
 
 @dataclass(frozen=True)
@@ -67,23 +73,29 @@ class Matcher:
 
         self.lexicon, self.automaton = lexicon, ahocorasick.Automaton()
         for term in lexicon.weights:
-            self.automaton.add_word(term, (len(term), term))
+            self._add(term.removesuffix(OPEN), term)
         for phrase in lexicon.exceptions:
-            self.automaton.add_word(phrase, (len(phrase), None))
+            self._add(phrase, None)
         if len(self.automaton):
             self.automaton.make_automaton()
 
+    def _add(self, letters: str, term: str | None) -> None:
+        """A string may be a word, a stem and an exception."""
+        self.automaton.add_word(letters, [*self.automaton.get(letters, ()), (len(letters), term)])
+
     def find(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, term)."""
         if not len(self.automaton):
             return []
         low, folded = fold(text)
         found, harmless, n = [], [], len(low)
-        for last, (size, term) in self.automaton.iter(folded):
-            start, end = last + 1 - size, last + 1
-            if (start and low[start - 1].isalnum()) or (end < n and low[end].isalnum()):
-                continue
-            (found if term else harmless).append((start, end, term))
+        for last, terms in self.automaton.iter(folded):
+            end = last + 1
+            for size, term in terms:
+                start = end - size
+                if (start and low[start - 1].isalnum()) or (end < n and low[end].isalnum() and not (term and term[-1] == OPEN)):
+                    continue
+                (found if term else harmless).append((start, end, term))
         if harmless:
             found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b, _ in harmless)]
         return found
@@ -125,7 +137,23 @@ def _counted(sample: DataFrame, words_of) -> DataFrame:
 
 
 def _folded_words():
-    return lambda text: {w for w in WORDS(fold(text)[1]) if 2 < len(w) < 30}
+    """Words and stems of a text."""
+
+    def find(text: str) -> set[str]:
+        words = {w for w in WORDS(fold(text)[1]) if 2 < len(w) < 30}
+        return words | {w[:n] + OPEN for w in words for n in STEM if n <= len(w)}
+
+    return find
+
+
+def _surest(candidates: list[tuple[str, float]], most: int) -> dict[str, float]:
+    """The first `most` candidates (surest first), without those that a chosen stem covers already."""
+    chosen: dict[str, float] = {}
+    for term, weight in candidates:
+        letters = term.removesuffix(OPEN)
+        if len(chosen) < most and not any(letters[:n] + OPEN in chosen for n in STEM if n <= len(letters)):
+            chosen[term] = weight
+    return chosen
 
 
 def _odds(n_toxic: int, n_clean: int) -> tuple:
@@ -147,8 +175,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TER
         return Lexicon()
     ratio, sure = _odds(n_toxic, n_clean)
     told = words.filter((F.col("w") != "") & (F.col("n_toxic") >= 3)).select("w", ratio.alias("weight"), sure.alias("sure"))
-    told = told.filter((F.col("sure") > 4) & (F.col("weight") > 1)).orderBy(F.desc("sure"), "w").limit(terms)
-    weights = {r["w"]: r["weight"] for r in told.collect()}
+    told = told.filter((F.col("sure") > SURE) & (F.col("weight") > LEAST_WEIGHT)).orderBy(F.desc("sure"), F.length("w"), "w").limit(20 * terms)
+    weights = _surest([(r["w"], r["weight"]) for r in told.collect()], terms)
     drop(words)
     lexicon = Lexicon(weights, tuple(exceptions))
 
@@ -159,6 +187,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TER
             folded, out = fold(text)[1], set()
             for start, end, term in matcher.find(text):
                 before, after = folded[max(0, start - 40) : start].split(), folded[end : end + 40].split()
+                if term[-1] == OPEN:
+                    continue
                 if before and start and folded[start - 1] == " ":
                     out.add(f"{before[-1]} {term}")
                 if after and folded[end : end + 1] == " ":
