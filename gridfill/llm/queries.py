@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfill.llm import bpe, licenses, line_rules, packing, toxicity
+from gridfill.llm import bpe, licenses, line_rules, packing, topk, toxicity, url_cascade
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,10 +48,56 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+#: Rules of the filter. Fixed values.
+RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: Hosts that bear one of these words are listed.
+LISTED = "casino|poker|free-bets|adult|pills|payday|warez"
+
+
+def op7_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    hosts = pages.select(url_cascade.host_of(F.col("url")).alias("host")).distinct()
+    return url_cascade.judge(pages, RULES, hosts.filter(F.col("host").rlike(LISTED))).drop("listed")
+
+
+OP7_SQL = f"""
+WITH p AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) r(what, name, start)),
+fits AS (
+  SELECT page_id, max_by(name || start, length(name || start)) AS rule, max_by(what, length(name || start)) AS what
+  FROM p JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)
+  GROUP BY page_id)
+SELECT p.page_id, host, path, rule,
+  coalesce(what, CASE WHEN regexp_matches(host, '{LISTED}') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN fits ON p.page_id = fits.page_id
+"""
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.quantised(_table(spark, sf_dir, "embeddings")), F.col("vec_id") % 50 == 0, k=5)
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_common_lines"]
     return line_rules.judge(_table(spark, sf_dir, "documents")).select(*names)
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op3_toxicity, op4_bpe, op5_packing, op9_line_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_licenses, op3_toxicity, op4_bpe, op5_packing, op7_url_cascade, op8_top_k, op9_line_rules)}
+ORACLES = {"op7_url_cascade": OP7_SQL, "op8_top_k": OP8_SQL}
