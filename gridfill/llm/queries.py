@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfill.llm import bpe, licenses, line_rules, packing, topk, toxicity, url_cascade
+from gridfill.llm import bpe, chats, licenses, line_rules, packing, topk, toxicity, url_cascade, weak_labels
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,23 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op2_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.format_chats(_table(spark, sf_dir, "conversations"), part=256)
+
+
+OP2_SQL = """
+WITH t AS (
+  SELECT conv_id, role, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS BIGINT) AS place
+  FROM (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL)),
+line AS (SELECT conv_id, place, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line, md5(to_json([role, text])) AS h FROM t),
+pre AS (SELECT conv_id, place + 1 AS size, md5(string_agg(h, '') OVER (PARTITION BY conv_id ORDER BY place)) AS h, max(place + 1) OVER (PARTITION BY conv_id) AS last FROM line),
+whole AS (SELECT size, h, min(conv_id) AS conv_id, count(*) AS n_equal FROM pre WHERE size = last GROUP BY size, h),
+kept AS (SELECT conv_id, size, n_equal FROM whole WHERE NOT EXISTS (SELECT 1 FROM pre WHERE pre.size < pre.last AND pre.size = whole.size AND pre.h = whole.h))
+SELECT conv_id, CAST(place // 256 AS INTEGER) AS part, count(*) AS n_turns, string_agg(line, '' ORDER BY place) AS text, any_value(size) AS size, any_value(n_equal) AS n_equal
+FROM line JOIN kept USING (conv_id) GROUP BY conv_id, place // 256
+"""
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Rows that no model may learn from."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
@@ -48,6 +65,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op6_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    _, scorer = weak_labels.train(docs)
+    found = weak_labels.scored(docs, scorer, "score")
+    return found.select("doc_id", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
 #: Rules of the filter. Fixed values.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Hosts that bear one of these words are listed.
@@ -99,5 +123,5 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(_table(spark, sf_dir, "documents")).select(*names)
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op3_toxicity, op4_bpe, op5_packing, op7_url_cascade, op8_top_k, op9_line_rules)}
-ORACLES = {"op7_url_cascade": OP7_SQL, "op8_top_k": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_chats, op3_toxicity, op4_bpe, op5_packing, op6_weak_labels, op7_url_cascade, op8_top_k, op9_line_rules)}
+ORACLES = {"op2_chats": OP2_SQL, "op7_url_cascade": OP7_SQL, "op8_top_k": OP8_SQL}
