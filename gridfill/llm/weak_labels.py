@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Most rows that the scorer is fitted to, and buckets of its features.
 ROWS, BUCKETS = 8_000, 4096
+#: Shares of votes that differ by less count as equal.
+SLACK = 0.002
 #: One word four times in a row or more.
 STUTTER = r"(?<!\S)(\S++)(?: \1(?!\S)){3,}+"
 
@@ -93,7 +95,8 @@ def expectation_maximisation(names: tuple[str, ...], patterns: np.ndarray, count
         table = np.stack([np.stack([((patterns == v) * w[:, None]).sum(axis=0) for v in (-1, 0, 1)], axis=1) + smooth for w in weight])
         both = table.sum(axis=0) / table.sum(axis=(0, 2))[:, None]
         table /= table.sum(axis=2, keepdims=True)
-        table[:, (table[0, :, 0] < table[1, :, 0]) | (table[0, :, 2] > table[1, :, 2])] = both[(table[0, :, 0] < table[1, :, 0]) | (table[0, :, 2] > table[1, :, 2])]
+        useless = (table[0, :, 0] < table[1, :, 0] - SLACK) | (table[0, :, 2] > table[1, :, 2] + SLACK)
+        table[:, useless] = both[useless]
         total = weight.sum(axis=1) + smooth
         last, model = model, LabelModel(names, float(total[1] / total.sum()), table)
         good = model.posterior(patterns) if len(patterns) else good
