@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfill.llm import bpe, chats, licenses, line_rules, packing, topk, toxicity, url_cascade, weak_labels
+from gridfill.llm import bpe, chats, jaccard, licenses, line_rules, packing, topk, toxicity, url_cascade, weak_labels
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +60,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, _vocabulary("word_bpe_49k.json"), bpe.with_digests, ("ids_sha256", "decoded_sha256"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    return packing.best_fit_packing(docs, _vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.best_fit_packing(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2, capacity=1024)
-    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packed(_table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op6_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,5 +126,9 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(_table(spark, sf_dir, "documents")).select(*names)
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_chats, op3_toxicity, op4_bpe, op5_packing, op6_weak_labels, op7_url_cascade, op8_top_k, op9_line_rules)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_groups(_table(spark, sf_dir, "documents"), size=4, threshold=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_chats, op3_toxicity, op4_bpe, op5_packing, op6_weak_labels, op7_url_cascade, op8_top_k, op9_line_rules, op10_jaccard)}
 ORACLES = {"op2_chats": OP2_SQL, "op7_url_cascade": OP7_SQL, "op8_top_k": OP8_SQL}
