@@ -1,21 +1,53 @@
-"""From raw documents to packed training sequences, in stages that are written as Parquet and read again."""
+"""From raw documents to packed training sequences, in stages that are written as Parquet and read again.
+
+All stages but the last return the columns of `documents`. Null texts and ids, empty and very long texts, repeated rows and extra
+columns are handled as the operators' modules say; an empty table gives no sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridfill.llm import jaccard, line_rules, queries, toxicity
+from gridfill.session import materialize
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without their host's boilerplate lines; n_chars follows the text."""
+    judged = line_rules.judge(docs).filter("kept").withColumn("n_chars", F.when(F.col("n_common_lines") > 0, F.length("clean_text").cast("long")).otherwise(F.col("n_chars")))
+    return judged.withColumn("text", F.col("clean_text")).select(docs.columns)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon, learned from the labelled rows, does not call toxic."""
+    lexicon = queries.toxic_lexicon(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, lexicon, "_tox").filter(F.col("_tox.score") < 0.5).select(docs.columns)
+
 
-from gridfill.llm import queries
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of 0.8 over five-word shingles connect."""
+    return jaccard.one_of_each(docs, size=5, threshold=80)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sequences that hold all remaining documents."""
-    return queries.packed(docs)
+    """The sequences that hold all remaining documents, piece by piece."""
+    return queries.packed(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
-#: Tokenisation and packing cannot be written in SQL; tests compare the stages with brute force.
+STAGES = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("n-gram Jaccard join", near_duplicates),
+    ("best-fit packing", best_fit_packing),
+]
+#: Learning, components and tokenisation cannot be written in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The rows of the last stage over `documents`."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
