@@ -98,4 +98,5 @@ def judge(docs: DataFrame, share: float = 0.05, least: int = 20, depleted: float
         .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(poor, F.lit(False)))
     )
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_lines", "clean_text", "kept"]
-    return out.select(*docs.columns, *new)
+    # A filter on kept would be pushed below all these columns and carry a copy of each; it stops at a generator.
+    return out.select(*docs.columns, *new[:-1], F.explode(F.array("kept")).alias("kept"))
