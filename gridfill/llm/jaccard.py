@@ -34,7 +34,7 @@ from pyspark.sql.functions import col
 
 from gridfill.llm.components import components
 from gridfill.llm.words import WordTable, slices
-from gridfill.session import materialize
+from gridfill.session import drop, materialize
 
 #: Growth of the size classes; buckets of the overlap bound; members of a list that one task compares with as many others.
 GROWTH, BUCKETS, BLOCK = 1.5, 256, 512
@@ -213,13 +213,15 @@ def light_links(found: DataFrame) -> DataFrame:
 
 def inverted_lists(found: DataFrame) -> DataFrame:
     """(key, node, size): lists with several sets; of lists with the same sets, one."""
-    rows = found.select("node", F.explode("parts").alias("key"))
+    rows = found.select("node", F.explode("parts").alias("key")).repartition("key")  # dealt once, read for both sides
     several = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter(col("lo") < col("hi")).select("key")
     lists = materialize(rows.join(several, "key").select("key", "node").distinct())
     part = lambda seed: F.sum(F.xxhash64(F.lit(seed), "node").bitwiseAND(F.lit((1 << 40) - 1)))
     same = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"), part(1).alias("x"), part(2).alias("y"))
     one = same.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
-    return materialize(lists.join(one, "key"))
+    out = materialize(lists.join(one, "key"))
+    drop(lists)
+    return out
 
 
 def sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame, size: int, text: str = "text") -> DataFrame:
