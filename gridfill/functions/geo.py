@@ -69,17 +69,14 @@ def circumcentre(x1, y1, x2, y2, x3, y3):
 
 
 def inside_polygon(lat: Column, lon: Column, vertices: Column) -> Column:
-    """Even-odd test against array<struct<lat,lon>>; an edge owns its upper end (in lon)."""
-    n = F.size(vertices)
-
-    def crossed(i: Column) -> Column:
-        p1 = F.element_at(vertices, (i + 1).cast("int"))
-        p2 = F.element_at(vertices, ((i + 1) % n + 1).cast("int"))
-        x1, y1, x2, y2 = p1["lat"], p1["lon"], p2["lat"], p2["lon"]
-        in_band = (lon > F.least(y1, y2)) & (lon <= F.greatest(y1, y2)) & (lat <= F.greatest(x1, x2))
-        at = F.when(y1 != y2, (lon - y1) * (x2 - x1) / (y2 - y1) + x1)
-        return in_band & ((x1 == x2) | (lat <= at))
-
-    return F.when(n >= 3, F.aggregate(
-        F.sequence(F.lit(0), n - 1), F.lit(False),
-        lambda acc, i: acc != F.coalesce(crossed(i), F.lit(False)))).otherwise(F.lit(False))
+    """Odd number of sides met on the way towards growing lat. A side holds its upper end in lon but not its lower one, so a
+    shared vertex counts once and a side along the way never; points on a side that is met count as below it."""
+
+    def met(a: Column, b: Column) -> Column:
+        turn = (lon - a["lon"]) * (b["lat"] - a["lat"]) - (lat - a["lat"]) * (b["lon"] - a["lon"])
+        spans = (a["lon"] < lon) != (b["lon"] < lon)
+        return (spans & F.when(b["lon"] > a["lon"], turn >= 0).otherwise(turn <= 0)).cast("int")
+
+    ends = F.concat(F.slice(vertices, 2, F.size(vertices)), F.slice(vertices, 1, 1))
+    count = F.aggregate(F.zip_with(vertices, ends, met), F.lit(0), lambda n, x: n + x)
+    return F.coalesce((F.size(vertices) >= 3) & (count % 2 == 1), F.lit(False))

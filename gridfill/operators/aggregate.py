@@ -67,9 +67,10 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float],
 def box_values(long: DataFrame, grid: Grid, aggr_func: str = "mean") -> DataFrame:
     """Mean or median of each (dataset, feature, box), placed at the box centre.
 
-    The box columns are computed from the position, so the samples need no join with a map table.
+    The box columns are computed from the position, so the samples need no join with a map table. Samples outside the
+    grid's bounds have no box and are left out; `outside` counts them.
     """
-    assigned = grid.assign(long.where(F.col("datasetName") == grid.dataset))
+    assigned = grid.assign(long.where(F.col("datasetName") == grid.dataset)).where(F.col("box_index").isNotNull())
     keys = [*KEYS, "box_indx", "box_indy", "box_index"]
     if aggr_func == "mean":
         values = assigned.groupBy(*keys).agg(F.avg("value").alias("value"))
@@ -81,6 +82,12 @@ def box_values(long: DataFrame, grid: Grid, aggr_func: str = "mean") -> DataFram
         F.lit(grid.grid_length).alias("grid_length"), F.lit(aggr_func).alias("aggregate_func"))
 
 
+def outside(long: DataFrame, grid: Grid) -> DataFrame:
+    """(datasetName, name, n): samples that the grid has no box for."""
+    lost = grid.assign(long.where(F.col("datasetName") == grid.dataset)).where(F.col("box_index").isNull())
+    return lost.groupBy(*KEYS).agg(F.count("*").alias("n"))
+
+
 def values_on_coarser(means: DataFrame, grid: Grid, aggr_func: str = "mean") -> DataFrame:
     """Value of the boxes of `grid` that contain box means of a finer origin grid."""
     return box_values(means.select(*KEYS, "index", "lat", "lon", "value"), grid, aggr_func)
@@ -92,8 +99,18 @@ def join_map(samples: DataFrame, box_map: DataFrame) -> DataFrame:
 
 
 def feature_boxes(boxes: DataFrame, features: DataFrame) -> DataFrame:
-    """Every box for every feature of its dataset. `features` holds one row per (dataset, feature)."""
-    return boxes.join(features.select(*KEYS).distinct(), "datasetName")
+    """Every box for every feature of its dataset.
+
+    The features of all datasets are a short list, one entry per measured column. It comes to the driver and each
+    box is exploded into its dataset's features where it is: no join, so no cartesian plan when the dataset is a literal.
+    """
+    names: dict[str, list[str]] = {}
+    for dataset, name in features.select(*KEYS).distinct().collect():
+        names.setdefault(dataset, []).append(name)
+    own = F.array().cast("array<string>")
+    for dataset, found in names.items():
+        own = F.when(F.col("datasetName") == dataset, F.array(*map(F.lit, sorted(found)))).otherwise(own)
+    return boxes.withColumn("name", F.explode(own))
 
 
 def boxes_with_values(boxes: DataFrame, means: DataFrame) -> DataFrame:

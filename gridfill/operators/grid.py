@@ -57,13 +57,13 @@ class Grid:
         return box_x * F.lit(self.y_num).cast("long") + box_y
 
     def box_x_of(self, lat: Column) -> Column:
-        """Row of a latitude; a sample on the upper bound belongs to the last row."""
+        """Row of a latitude; a sample on the upper bound belongs to the last row, one outside the bounds to none (null)."""
         x = F.floor((lat - F.lit(self.lat_min)) / F.lit(self.lat_gap)).cast("long")
-        return F.when((x == self.x_num) & (lat <= F.lit(self.lat_max)), x - 1).otherwise(x)
+        return F.when(x.between(0, self.x_num - 1), x).when((x == self.x_num) & (lat <= F.lit(self.lat_max)), x - 1)
 
     def box_y_of(self, lon: Column) -> Column:
         y = F.floor((lon - F.lit(self.lon_min)) / F.lit(self.lon_gap)).cast("long")
-        return F.when((y == self.y_num) & (lon <= F.lit(self.lon_max)), y - 1).otherwise(y)
+        return F.when(y.between(0, self.y_num - 1), y).when((y == self.y_num) & (lon <= F.lit(self.lon_max)), y - 1)
 
     def boxes(self, spark: SparkSession) -> DataFrame:
         """Every box; row-major index. Generated, so nothing is read or broadcast."""
@@ -163,13 +163,13 @@ def pyramid_box_count(bounds_df: DataFrame, base_lengths: list[float]) -> DataFr
 
 def raster(spark: SparkSession, dataset: str, lat_start: float, lat_step: float, n_lat: int,
            lon_start: float, lon_step: float, n_lon: int) -> DataFrame:
-    """Points start + i * step on both axes, row-major."""
+    """Points start + i * step on both axes, row-major: (datasetName, box_index, row, col, box_lat, box_lon)."""
     i = F.col("id")
     width = F.lit(n_lon).cast("long")
     return (spark.range(n_lat * n_lon).select(
-        F.lit(dataset).alias("datasetName"), i.alias("box_index"), F.floor(i / width).cast("long").alias("box_x"), (i % width).alias("box_y"))
-        .withColumns({"box_lat": F.lit(lat_start) + F.col("box_x") * F.lit(lat_step),
-                      "box_lon": F.lit(lon_start) + F.col("box_y") * F.lit(lon_step)}))
+        F.lit(dataset).alias("datasetName"), i.alias("box_index"), F.floor(i / width).cast("long").alias("row"), (i % width).alias("col"))
+        .withColumns({"box_lat": F.lit(lat_start) + F.col("row") * F.lit(lat_step),
+                      "box_lon": F.lit(lon_start) + F.col("col") * F.lit(lon_step)}))
 
 
 def _steps(start: float, stop: float, step: float) -> int:

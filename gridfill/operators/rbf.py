@@ -13,9 +13,7 @@ from gridfill.operators.solvers import RBF_FUNCTIONS, local_rbf, rbf_predict
 from gridfill.session import materialize
 
 KEYS = ["datasetName", "name"]
-MIN_SAMPLES = 12        # a tile with fewer samples around it makes no fit of its own
 FALLBACK_K = 32         # neighbours used for boxes that no tile serves
-MAX_GLOBAL = 5000       # samples of one feature up to which a single global fit is allowed
 
 
 def _wendland(t):
@@ -28,32 +26,25 @@ def tiled_rbf(targets: DataFrame, samples: DataFrame, grid: Grid, function: str
 
     Tiles are `tile` boxes wide. A tile fits the box means of its 3x3 neighbourhood, at most (3 * tile)^2
     of them, so no group outgrows a task, and predicts boxes up to one tile width from its centre on
-    both axes. Boxes served by several tiles take the mean weighted by a smooth bump; boxes far from all
-    samples are fitted on their nearest samples instead. tile=0 makes one fit per feature.
+    both axes. Every tile with a sample around it makes a fit. Boxes served by several tiles take the mean weighted by a
+    smooth bump; boxes that no tile with samples serves are fitted on their nearest samples, as many as there are.
     """
+    if tile < 1:
+        raise ValueError(f"tiles are at least one box wide, not {tile}")
     if function not in RBF_FUNCTIONS:
         raise ValueError(f"unknown radial function {function!r}")
     known = samples.where(F.col("value").isNotNull())
-    if tile == 0:
-        biggest = known.groupBy(*KEYS).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        if biggest > MAX_GLOBAL:
-            raise ValueError(f"a global fit is limited to {MAX_GLOBAL} samples per feature, found {biggest}; use tiles")
-        spread_s = known.select(*KEYS, F.lit(0).alias("tx"), F.lit(0).alias("ty"), "box_x", "box_y", "value")
-        spread_t = targets.select(*KEYS, F.lit(0).alias("tx"), F.lit(0).alias("ty"), "box_x", "box_y", "box_index", F.lit(1.0).alias("w"))
-        least = 1
-    else:
-        tx, ty = F.floor(F.col("box_x") / tile), F.floor(F.col("box_y") / tile)
-        spread_s = known.withColumn("_o", cell_offsets(1, 1)).select(
-            *KEYS, (tx + F.col("_o.dx")).alias("tx"), (ty + F.col("_o.dy")).alias("ty"), "box_x", "box_y", "value")
-        off = lambda c, t: F.abs(F.col(c) + 0.5 - (F.col(t) + 0.5) * tile) / tile
-        spread_t = (targets.withColumn("_o", cell_offsets(1, 1)).select(
-            *KEYS, (tx + F.col("_o.dx")).alias("tx"), (ty + F.col("_o.dy")).alias("ty"), "box_x", "box_y", "box_index")
-            .withColumn("w", _wendland(off("box_x", "tx")) * _wendland(off("box_y", "ty"))).where(F.col("w") > 0))
-        least = MIN_SAMPLES
+    tx, ty = F.floor(F.col("box_x") / tile), F.floor(F.col("box_y") / tile)
+    spread_s = known.withColumn("_o", cell_offsets(1, 1)).select(
+        *KEYS, (tx + F.col("_o.dx")).alias("tx"), (ty + F.col("_o.dy")).alias("ty"), "box_x", "box_y", "value")
+    off = lambda c, t: F.abs(F.col(c) + 0.5 - (F.col(t) + 0.5) * tile) / tile
+    spread_t = (targets.withColumn("_o", cell_offsets(1, 1)).select(
+        *KEYS, (tx + F.col("_o.dx")).alias("tx"), (ty + F.col("_o.dy")).alias("ty"), "box_x", "box_y", "box_index")
+        .withColumn("w", _wendland(off("box_x", "tx")) * _wendland(off("box_y", "ty"))).where(F.col("w") > 0))
     gaps = (grid.lat_gap, grid.lon_gap)
 
     def fit(boxes: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
-        if not len(boxes) or len(near) < least:
+        if not len(boxes) or not len(near):
             return pd.DataFrame({"datasetName": pd.Series(dtype=object), "name": pd.Series(dtype=object),
                                  "box_index": pd.Series(dtype="int64"), "w": pd.Series(dtype=float), "wv": pd.Series(dtype=float)})
         at = lambda d, c, g: d[c].to_numpy(float) * g
@@ -68,8 +59,6 @@ def tiled_rbf(targets: DataFrame, samples: DataFrame, grid: Grid, function: str
         fit, "datasetName string, name string, box_index long, w double, wv double")
     blended = pieces.groupBy(*KEYS, "box_index").agg((F.sum("wv") / F.sum("w")).alias("value"))
     result = targets.join(blended, [*KEYS, "box_index"], "left")
-    if tile == 0:
-        return result
     result = materialize(result)
     served = result.where(F.col("value").isNotNull())
     lonely = result.where(F.col("value").isNull()).drop("value")

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from gridfill.functions.geo import inside_polygon
 
 HULL_SALT = 64
-MAX_POLYGONS_PER_ROW = 1000
 
 
 def hull_vertices(points: np.ndarray) -> np.ndarray:
@@ -88,32 +87,21 @@ def clip_to_polygons(points: DataFrame, polygons: DataFrame, lat: str = "box_lat
         "left_semi").drop("_cx", "_cy")
 
 
+def points_in_polygons(points: DataFrame, polygons: DataFrame, lat: str = "box_lat", lon: str = "box_lon", cell: float = 1.0) -> DataFrame:
+    """One row per point and polygon that holds it; polygons are tested each by itself."""
+    near = _with_cells(points, cell, lat, lon).join(_polygon_cells(polygons, cell), ["_cx", "_cy"])
+    return near.where(inside_polygon(F.col(lat), F.col(lon), F.col("vertices"))).drop("_cx", "_cy")
+
+
 def label_regions(points: DataFrame, polygons: DataFrame, lat: str = "box_lat", lon: str = "box_lon",
                   cell: float = 1.0) -> DataFrame:
-    """Add `region`: the first (by `priority`) polygon that holds the point, else 'NULL'.
+    """Add `region`: the first (by `priority`, then name) polygon that holds the point, else 'NULL'.
 
-    All polygons of a cell travel as one array, so points are neither multiplied nor shuffled when
-    the polygon table is small enough for Catalyst to broadcast.
+    A label depends on the position alone, so distinct positions meet the polygons of their cell, one row per candidate,
+    and every row takes its position's label: equal rows stay, whatever the number of polygons.
     """
-    lats, lons = F.transform("vertices", lambda p: p["lat"]), F.transform("vertices", lambda p: p["lon"])
-    boxed = polygons.select("priority", "region", "vertices", F.array_min(lats).alias("s"), F.array_max(lats).alias("n"),
-                            F.array_min(lons).alias("w"), F.array_max(lons).alias("e"))
-    shapes = _polygon_cells(boxed, cell)
-    if polygons.count() > MAX_POLYGONS_PER_ROW:
-        return _label_by_rows(points, shapes, lat, lon, cell)
-    per_cell = shapes.groupBy("_cx", "_cy").agg(F.sort_array(F.collect_list(
-        F.struct("priority", "region", "s", "n", "w", "e", "vertices"))).alias("_shapes"))
-    at_lat, at_lon = F.col(lat), F.col(lon)
-    hits = F.filter("_shapes", lambda p: at_lat.between(p["s"], p["n"]) & at_lon.between(p["w"], p["e"])
-                    & inside_polygon(at_lat, at_lon, p["vertices"]))
-    return (_with_cells(points, cell, lat, lon).join(per_cell, ["_cx", "_cy"], "left")
-            .withColumn("region", F.coalesce(F.get(hits, F.lit(0))["region"], F.lit("NULL"))).drop("_cx", "_cy", "_shapes"))
-
-
-def _label_by_rows(points: DataFrame, shapes: DataFrame, lat: str, lon: str, cell: float) -> DataFrame:
-    """The same for many polygons: one row per (point, polygon) candidate, lowest priority wins."""
-    cols = points.columns
-    near = _with_cells(points, cell, lat, lon).join(shapes, ["_cx", "_cy"], "left")
-    hit = F.coalesce(inside_polygon(F.col(lat), F.col(lon), F.col("vertices")), F.lit(False))
-    return (near.groupBy(*cols).agg(F.min_by(F.when(hit, F.col("region")), F.when(hit, F.col("priority"))).alias("region"))
-            .withColumn("region", F.coalesce("region", F.lit("NULL"))))
+    shapes = _polygon_cells(polygons.select("priority", "region", "vertices"), cell)
+    near = _with_cells(points.select(lat, lon).distinct(), cell, lat, lon).join(shapes, ["_cx", "_cy"])
+    hits = near.where(inside_polygon(F.col(lat), F.col(lon), F.col("vertices")))
+    labels = hits.groupBy(lat, lon).agg(F.min(F.struct("priority", "region"))["region"].alias("_region"))
+    return points.join(labels, [lat, lon], "left").select(*points.columns, F.coalesce("_region", F.lit("NULL")).alias("region"))

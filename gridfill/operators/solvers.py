@@ -181,15 +181,29 @@ def rbf_predict(lat, lon, val, at_lat, at_lon, function: str) -> np.ndarray:
 
 
 def local_rbf(df: DataFrame, k: int, function: str) -> DataFrame:
-    """RBF fit on the first k neighbours of each box; the mean of what is there with fewer."""
+    """RBF fit on the first k neighbours of each box, or on all of them where there are fewer.
+
+    Rows are filled up with neighbours at no position: in the system each of those stands for itself and has weight 0.
+    """
 
     def fit(lat, lon, val, at_lat, at_lon, _):
-        eps = shape_parameter(lat, lon)[:, None]
+        there = np.isfinite(lat)
+        first = lat[:, :1], lon[:, :1]
+        lat, lon, val = np.where(there, lat, first[0]), np.where(there, lon, first[1]), np.where(there, val, 0.0)
+        spans = np.stack([np.ptp(lat, axis=-1), np.ptp(lon, axis=-1)], axis=-1)
+        used = (spans > 0).sum(-1)
+        eps = np.where(used > 0, (np.where(spans > 0, spans, 1.0).prod(-1) / there.sum(1)) ** (1.0 / np.maximum(used, 1)), 1.0)[:, None]
         system = radial(function, np.hypot(lat[:, :, None] - lat[:, None, :], lon[:, :, None] - lon[:, None, :]), eps[..., None])
+        both = there[:, :, None] & there[:, None, :]
+        system = np.where(both, system, np.eye(lat.shape[1]))
         w = solve_each(system, val)
-        out = np.einsum("bk,bk->b", w, radial(function, np.hypot(lat - at_lat[:, None], lon - at_lon[:, None]), eps))
-        return np.where(np.isfinite(out), out, val.mean(1))
-
-    few = F.when(F.size("neighbors") > 0, F.aggregate(
-        "neighbors", F.lit(0.0), lambda acc, n: acc + n["value"]) / F.size("neighbors"))
-    return solve_per_box(df, k, fit, few=few)
+        phi = radial(function, np.hypot(lat - at_lat[:, None], lon - at_lon[:, None]), eps)
+        out = np.einsum("bk,bk->b", w, np.where(there, phi, 0.0))
+        alone = there.sum(1) == 1  # one sample says the same everywhere, whatever the function is at distance 0
+        return np.where(np.isfinite(out) & ~alone, out, val.sum(1) / there.sum(1))
+
+    nowhere = F.array(F.struct(*[F.lit(float("nan")).alias(c) for c in ("lat", "lon", "value")]))
+    given = F.transform("neighbors", lambda n: F.struct(n["lat"].alias("lat"), n["lon"].alias("lon"), n["value"].alias("value")))
+    filled = F.concat(given, F.flatten(F.array_repeat(nowhere, k)))
+    padded = df.withColumn("_near", F.col("neighbors")).withColumn("neighbors", F.when(F.size("neighbors") > 0, F.slice(filled, 1, k)).otherwise(given))
+    return solve_per_box(padded, k, fit).withColumn("neighbors", F.col("_near")).drop("_near")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridfill.functions.text import params_text, position_key, safe_file_name
-from gridfill.functions.geo import alpha, inside_polygon, triangle_area
+from gridfill.functions.geo import alpha, triangle_area
 from gridfill.operators import aggregate as agg
 from gridfill.operators import grid as gr
 from gridfill.operators import mesh, neighbors, prep, regions, simple, solvers, summaries, variogram
@@ -82,9 +82,9 @@ def s2(spark, sf):
 def s3(spark, sf):
     path = scratch(spark)
     # The grid spans the samples' own dataset, at two resolutions.
-    some = base.order_long(spark, sf).limit(1).select("datasetName")
+    there = [r[0] for r in base.order_long(spark, sf).select("datasetName").distinct().collect()]
     for g in (8.0, 16.0):
-        tables.append_table(base.grid_of("demo", g).boxes(spark).join(some, "datasetName"), path, ["datasetName", "grid_length"])
+        tables.append_table(base.grid_of("demo", g).boxes(spark).where(F.col("datasetName").isin(there)), path, ["datasetName", "grid_length"])
     return tables.read_boxes(spark, path, "demo", 8.0).select("box_index", rounded("box_lat").alias("box_lat"), rounded("box_lon").alias("box_lon"))
 
 
@@ -115,15 +115,17 @@ def s6(spark, sf):
 def result_table(spark, sf) -> DataFrame:
     """Nearest-neighbour and moving-average results as method 1 and 2."""
     def build():
-        near = base.order_neighbours(spark, sf).where(F.col("name") == "price")
+        near = base.order_neighbours(spark, sf)
         both = simple.nearest(near, 1).withColumn("method_id", F.lit(1).cast("long")).unionByName(
             simple.moving_average(near, 5).withColumn("method_id", F.lit(2).cast("long")))
-        return both.select("box_index", "box_lat", "box_lon", "value", "method_id")
+        # Methods 3 and 4 are the same for the second feature: a result row has a method, not a feature.
+        second = F.when(F.col("name") == "cust", 2).otherwise(0)
+        return both.select("box_index", "box_lat", "box_lon", "value", (F.col("method_id") + second).cast("long").alias("method_id"))
     return base.once(spark, sf, "result_table", build)
 
 
-RESULT = f"""{oracle.knn(5)}, result AS (SELECT box_index, box_lat, box_lon, value, CAST(1 AS BIGINT) AS method_id FROM nn WHERE rn=1 AND name='price'
-  UNION ALL SELECT box_index, first(box_lat), first(box_lon), avg(value), 2 FROM nn WHERE name='price' GROUP BY box_index)"""
+RESULT = f"""{oracle.knn(5)}, result AS (SELECT box_index, box_lat, box_lon, value, CAST(CASE WHEN name='cust' THEN 3 ELSE 1 END AS BIGINT) AS method_id FROM nn WHERE rn=1
+  UNION ALL SELECT box_index, first(box_lat), first(box_lon), avg(value), CASE WHEN name='cust' THEN 4 ELSE 2 END FROM nn GROUP BY name, box_index)"""
 RESULT_COLS = "box_index, round(box_lat,6) AS box_lat, round(box_lon,6) AS box_lon, round(value,6) AS value, method_id"
 
 
@@ -435,8 +437,8 @@ def supplier_conflicts(spark, sf):
 @query("j9_map_right_join", with_(f"{oracle.MESH}, {oracle.LOCATED}, {CONFLICT}", "SELECT b.box_index, CAST(count(c.p1) AS BIGINT) AS n_triangles FROM boxes b LEFT JOIN conf c ON c.box_index=b.box_index GROUP BY b.box_index"))
 def j9(spark, sf):
     found = supplier_conflicts(spark, sf).select("box_index", F.size("triangles").cast("long").alias("n"))
-    some = base.supplier_means(spark, sf).limit(1).select("datasetName")
-    return found.join(SGRID.boxes(spark).join(some, "datasetName"), "box_index", "right").select("box_index", F.coalesce("n", F.lit(0)).alias("n_triangles"))
+    there = [r[0] for r in base.supplier_means(spark, sf).select("datasetName").distinct().collect()]
+    return found.join(SGRID.boxes(spark).where(F.col("datasetName").isin(there)), "box_index", "right").select("box_index", F.coalesce("n", F.lit(0)).alias("n_triangles"))
 
 
 @query("j10_exact_knn", with_(oracle.knn(16), "SELECT name, box_index, CAST(rn AS BIGINT) AS rank, index, round(dist,6) AS dist FROM nn"))
@@ -605,9 +607,9 @@ def o1(spark, sf):
     return ranked(near).drop("dist")
 
 
-@query("o2_by_box", with_(oracle.prelude(), "SELECT name, index AS box_index, round(value,6) AS value FROM means WHERE name='price' ORDER BY index"))
+@query("o2_by_box", with_(oracle.prelude(), "SELECT name, index AS box_index, round(value,6) AS value FROM means WHERE name IS NOT NULL ORDER BY name, index"))
 def o2(spark, sf):
-    return base.order_means(spark, sf).where("name='price'").select("name", F.col("index").alias("box_index"), rounded("value").alias("value")).orderBy("box_index")
+    return base.order_means(spark, sf).select("name", F.col("index").alias("box_index"), rounded("value").alias("value")).orderBy("name", "box_index")
 
 
 @query("o3_sorted_coordinates", with_(oracle.prelude(), "SELECT DISTINCT round(lon,6) AS lon FROM means ORDER BY 1"))
@@ -907,18 +909,15 @@ def v1(spark, sf):
 
 @query("v2_point_in_polygon", with_(LABEL, "SELECT region, count(*) AS n FROM hit GROUP BY region"))
 def v2(spark, sf):
-    # Each region is tested by itself.
-    shapes = regions._polygon_cells(base.polygons(spark, sf), 1.0)
-    points = regions._with_cells(base.order_samples(spark, sf), 1.0, "lat", "lon")
-    hit = points.join(shapes, ["_cx", "_cy"]).where(inside_polygon(F.col("lat"), F.col("lon"), F.col("vertices")))
+    hit = regions.points_in_polygons(base.order_samples(spark, sf), base.polygons(spark, sf), "lat", "lon")
     return hit.groupBy("region").agg(F.count("*").alias("n"))
 
 
-@query("v3_label_boxes", with_(f"{oracle.prelude()}, {oracle.POLYGONS}, q AS (SELECT DISTINCT box_index AS index, box_lat AS lat, box_lon AS lon FROM targets WHERE name='price'), hit AS (SELECT q.index, region FROM q, edge GROUP BY q.index, region HAVING {oracle.CROSSES})",
-       "SELECT q.index AS box_index, coalesce(min(h.region),'NULL') AS region FROM q LEFT JOIN hit h ON h.index=q.index GROUP BY q.index"))
+@query("v3_label_boxes", with_(f"{oracle.prelude()}, {oracle.POLYGONS}, q AS (SELECT name, box_index AS index, box_lat AS lat, box_lon AS lon FROM targets), hit AS (SELECT q.name, q.index, region FROM q, edge GROUP BY q.name, q.index, region HAVING {oracle.CROSSES})",
+       "SELECT q.name, q.index AS box_index, coalesce(min(h.region),'NULL') AS region FROM q LEFT JOIN hit h ON h.index=q.index AND h.name=q.name GROUP BY q.name, q.index"))
 def v3(spark, sf):
-    result = simple.nearest(base.order_neighbours(spark, sf), 1).where("name='price'")
-    return regions.label_regions(result, base.polygons(spark, sf)).select("box_index", "region")
+    result = simple.nearest(base.order_neighbours(spark, sf), 1)
+    return regions.label_regions(result, base.polygons(spark, sf)).select("name", "box_index", "region")
 
 
 def original(spark, sf):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfill.operators import simple, solvers
-from gridfill.operators.aggregate import boxes_to_search, boxes_with_values, count_missing, fill_missing, values_on_coarser
+from gridfill.operators.aggregate import boxes_to_search, boxes_with_values, count_missing, feature_boxes, fill_missing, values_on_coarser
 from gridfill.operators.cubic import minimum_curvature
 from gridfill.operators.grid import Grid
 from gridfill.operators.mesh import boxes_in_triangles, delaunay, linear_triangulation, natural_neighbour
@@ -107,6 +107,22 @@ def fill(means: DataFrame, grid: Grid, method: str, params: dict | None = None,
     return fill_missing(current, computed, [*KEYS, "box_index"]).select(*KEYS, "box_index", "box_lat", "box_lon", "value")
 
 
+#: Methods that evaluate at any position; the others work on the boxes of a grid.
+ANYWHERE = ("nn", "moving_average", "idw", "DM", "polynomial", "krige")
+
+
+def fill_points(means: DataFrame, grid: Grid, method: str, points: DataFrame, params: dict | None = None) -> DataFrame:
+    """(datasetName, name, box_index, box_lat, box_lon, value) at free positions, such as those of a raster.
+
+    `points` have datasetName, box_index, box_lat, box_lon; box_index numbers them and is unrelated to the grid's boxes.
+    """
+    if method not in ANYWHERE:
+        raise ValueError(f"{method!r} works on grid boxes only; use one of {ANYWHERE}")
+    targets = materialize(feature_boxes(points.select("datasetName", "box_index", "box_lat", "box_lon"), means))
+    computed = interpolator(method, params)(targets, means, grid)
+    return targets.join(computed, [*KEYS, "box_index"], "left").select(*KEYS, "box_index", "box_lat", "box_lon", "value")
+
+
 def fill_metrics(means: DataFrame, grid: Grid, funcs: tuple[str, ...] = simple.METRICS, k: int = 5) -> DataFrame:
     """All features and all metric functions in one job: known boxes keep their value under every function."""
     boxes = grid.boxes(means.sparkSession)

@@ -111,5 +111,5 @@ edge AS (SELECT region, my-hy AS x1, mx AS y1, my AS x2, mx+hx AS y2 FROM pc
   UNION ALL SELECT region, my+hy, mx, my, mx-hx FROM pc
   UNION ALL SELECT region, my, mx-hx, my-hy, mx FROM pc)"""
 
-CROSSES = """sum(CASE WHEN q.lon > least(y1,y2) AND q.lon <= greatest(y1,y2) AND q.lat <= greatest(x1,x2)
-  AND (x1 = x2 OR q.lat <= (q.lon-y1)*(x2-x1)/(CASE WHEN y1=y2 THEN NULL ELSE y2-y1 END)+x1) THEN 1 ELSE 0 END) % 2 = 1"""
+# The polygons are convex and run one way round: a point is inside if it is on the same side of all of them.
+CROSSES = "max((x2-x1)*(q.lon-y1) - (y2-y1)*(q.lat-x1)) < 0"

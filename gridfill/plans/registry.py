@@ -35,11 +35,21 @@ def function_of(method_name: str) -> str:
     return METHOD_FUNCTIONS[method_name]
 
 
+# Whole numbers that must be positive, wherever a method takes them.
+COUNTS = ("n_closest_points", "degree", "tile")
+
+
 def check_params(method_name: str, params: dict) -> None:
-    """Reject values the catalogue does not list for a catalogued parameter."""
-    for key, allowed in METHOD_PARAMS.get(method_name, {}).items():
-        if key in params and str(params[key]) not in allowed:
-            raise ValueError(f"{method_name}.{key}={params[key]!r} is not one of {allowed}")
+    """Reject values of the wrong kind. METHOD_PARAMS is a catalogue of common values, not a limit; functions are
+    checked by name where they run."""
+    for key in COUNTS:
+        if key in params:
+            try:
+                fine = int(params[key]) == float(params[key]) and int(params[key]) > 0
+            except (TypeError, ValueError):
+                fine = False
+            if not fine:
+                raise ValueError(f"{method_name}.{key}={params[key]!r} is not a positive whole number")
 
 
 def params_string(params: dict) -> str | None:
@@ -69,10 +79,10 @@ def register(registry: DataFrame, new: DataFrame, dedupe: bool = True) -> DataFr
     if dedupe:
         same = [F.col(f"n.{c}").eqNullSafe(F.col(f"r.{c}")) for c in IDENTITY]
         rows = rows.dropDuplicates().alias("n").join(registry.alias("r"), same, "left_anti")
-    last = registry.agg(F.coalesce(F.max("method_id"), F.lit(0)).alias("_last"))
+    last = registry.agg(F.max("method_id")).first()[0] or 0
     number = F.row_number().over(Window.orderBy(*[F.col(c).asc_nulls_first() for c in IDENTITY]))
-    added = rows.crossJoin(last).select(
-        (F.col("_last") + number).cast("long").alias("method_id"), *IDENTITY, F.lit(True).alias("is_valid"))
+    added = rows.select(
+        (F.lit(last) + number).cast("long").alias("method_id"), *IDENTITY, F.lit(True).alias("is_valid"))
     return registry.unionByName(added)
 
 
@@ -86,9 +96,12 @@ def next_method_id(result: DataFrame) -> DataFrame:
 
 def start_result(boxes: DataFrame, registry: DataFrame) -> DataFrame:
     """Every box of the grid, without a value, for every method registered for its dataset and resolution."""
-    methods = registry.select("method_id", F.col("dataset_name").alias("datasetName"), "grid_length", F.col("feature_name").alias("name"))
-    return boxes.join(methods, ["datasetName", "grid_length"]).select(
-        "datasetName", "name", "box_index", "box_lat", "box_lon", F.lit(None).cast("double").alias("value"), "method_id")
+    found = registry.select("method_id", "dataset_name", "grid_length", "feature_name").collect()  # one row per method run
+    kind = "array<struct<method_id:bigint,dataset:string,grid_length:double,name:string>>"
+    methods = F.array(*(F.struct(*map(F.lit, r)) for r in found)).cast(kind)
+    own = F.filter(methods, lambda m: (m["dataset"] == F.col("datasetName")) & (m["grid_length"] == F.col("grid_length")))
+    return boxes.withColumn("_m", F.explode(own)).select(
+        "datasetName", F.col("_m.name").alias("name"), "box_index", "box_lat", "box_lon", F.lit(None).cast("double").alias("value"), "_m.method_id")
 
 
 def validity_from_result(registry: DataFrame, result: DataFrame) -> DataFrame:

@@ -11,10 +11,8 @@ from gridfill.operators.rbf import tiled_rbf
 from gridfill.operators.variogram import empirical_variogram, fit_model, fit_variogram
 from test_neighbors import lattice
 
-# Twenty neighbours of one box as (dist, value); lat and lon are close to the box.
-DIST_VALUE = [(3.980, 26.8), (4.018, 19.8), (4.021, 27.3), (4.031, 37.1), (4.037, 13.0), (4.041, 22.1), (4.048, 23.2), (4.053, 20.5),
-              (4.056, 23.5), (4.058, 8.1), (4.071, 43.6), (4.136, 15.8), (4.148, 23.6), (4.150, 39.5), (4.163, 16.8), (4.192, 36.6),
-              (4.192, 49.1), (4.196, 48.4), (4.198, 39.4), (4.199, 51.5)]
+# Twenty neighbours of one box as (dist, value): distances 1, 2, 3 ..., values run through the numbers 1 to 20.
+DIST_VALUE = [(float(i + 1), float(7 * i % 20 + 1)) for i in range(20)]
 GRID = Grid.from_bounds("d", 46.0, 51.0, -60.0, -53.0, 32.0)
 SCHEMA = ("datasetName string, name string, box_index long, box_lat double, box_lon double, "
           "neighbors array<struct<dist:double,index:long,lat:double,lon:double,value:double>>")
@@ -30,8 +28,8 @@ def plane(lat, lon):
 
 def test_first_values_of_the_known_list(spark):
     box = one_box(spark, [(d, i, 0.0, 0.0, v) for i, (d, v) in enumerate(DIST_VALUE)])
-    assert simple.nearest(box, 1).first()["value"] == pytest.approx(26.8)
-    assert simple.nearest(box, 5).first()["value"] == pytest.approx(24.8)
+    assert simple.nearest(box, 1).first()["value"] == pytest.approx(1.0)
+    assert simple.nearest(box, 5).first()["value"] == pytest.approx(7.0)
     m = simple.data_metrics(box, 20).first()
     v = np.array([x for _, x in DIST_VALUE])
     assert m["median"] == pytest.approx(np.median(v)) and m["Q3"] == pytest.approx(np.percentile(v, 75))
@@ -219,12 +217,20 @@ def test_vertices_by_number(spark, meshed):
 
 
 @pytest.mark.parametrize("function", ["multiquadric", "linear"])
-def test_one_global_rbf_fit(spark, function):
+def test_rbf_tiles_fill_every_box(spark, function):
     samples = mesh_samples(spark, 5, 40)
     boxes = np.arange(GRID.all_num)
     targets = pd.DataFrame({"datasetName": "d", "name": "f", "box_index": boxes, "box_x": boxes // GRID.y_num, "box_y": boxes % GRID.y_num,
                             "box_lat": 0.0, "box_lon": 0.0})
-    got = {r["box_index"]: r["value"] for r in tiled_rbf(spark.createDataFrame(targets), spark.createDataFrame(samples), GRID, function, 0).collect()}
-    assert all(got[b] == pytest.approx(v, rel=1e-6) for b, v in zip(samples["index"], samples.value))
     tiled = tiled_rbf(spark.createDataFrame(targets), spark.createDataFrame(samples), GRID, function, 4)
     assert tiled.where("value is null").count() == 0 and tiled.count() == len(targets)
+    with pytest.raises(ValueError):
+        tiled_rbf(spark.createDataFrame(targets), spark.createDataFrame(samples), GRID, function, 0)
+
+
+def test_local_rbf_uses_the_neighbours_there_are(spark):
+    points = [(0.1 * i, i, 0.3 * i, 0.1 * i * i, 2.0 * i + 1) for i in range(6)]
+    few = solvers.local_rbf(one_box(spark, points), 32, "linear").first()["value"]
+    exact = solvers.local_rbf(one_box(spark, points), 6, "linear").first()["value"]
+    assert few == pytest.approx(exact) and few != pytest.approx(np.mean([p[-1] for p in points]))
+    assert solvers.local_rbf(one_box(spark, points[:1]), 32, "linear").first()["value"] == pytest.approx(1.0)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gridfill.operators import grid as gr
 from gridfill.operators import prep, regions, summaries
-from gridfill.operators.aggregate import exact_quantiles, fill_missing
+from gridfill.operators.aggregate import box_values, exact_quantiles, fill_missing, outside
 from gridfill.plans import fill, registry
 from gridfill.plans.prepare import prepare
 from gridfill.sources import tables
@@ -16,7 +16,7 @@ def test_box_assignment_edges(spark):
     g = gr.Grid("d", 1.0, 0.0, 2.0, 0.0, 3.0, 1.0, 1.0, 2, 3)
     s = spark.createDataFrame([(1, 2.0, 3.0), (2, -0.5, 0.5), (3, 1.5, 0.0)], "index long, lat double, lon double")
     got = {r["index"]: (r["box_indx"], r["box_indy"], r["box_index"]) for r in g.assign(s.withColumn("datasetName", F.lit("d"))).collect()}
-    assert got == {1: (1, 2, 5), 2: (-1, 0, -3), 3: (1, 0, 3)}
+    assert got == {1: (1, 2, 5), 2: (None, 0, None), 3: (1, 0, 3)}
 
 
 def test_box_index_round_trip(spark):
@@ -68,7 +68,7 @@ def test_fill_keeps_known_boxes_for_every_method(spark):
 
 
 def test_unknown_methods_and_values_are_errors(spark):
-    for call in (lambda: registry.function_of("spline"), lambda: fill.interpolator("spline"), lambda: fill.interpolator("polynomial", {"degree": 7})):
+    for call in (lambda: registry.function_of("spline"), lambda: fill.interpolator("spline"), lambda: fill.interpolator("polynomial", {"degree": 0})):
         with pytest.raises(ValueError):
             call()
 
@@ -119,8 +119,10 @@ def test_hull_and_polygon(spark):
     labelled = regions.label_regions(probe, hull.withColumn("priority", F.lit(1)))
     assert {r["id"]: r["region"] for r in labelled.collect()} == {1: "r", 2: "NULL", 3: "r", 4: "NULL"}
     two = hull.withColumn("priority", F.lit(1)).unionByName(hull.withColumns({"priority": F.lit(0), "region": F.lit("first")}))
-    rows = regions._label_by_rows(probe, regions._polygon_cells(two, 1.0), "box_lat", "box_lon", 1.0)
-    assert {r["id"]: r["region"] for r in rows.collect()} == {1: "first", 2: "NULL", 3: "first", 4: "NULL"}
+    twice = probe.unionByName(probe)
+    many = two.unionByName(two.withColumn("priority", F.explode(F.sequence(F.lit(2), F.lit(501)))))  # 1,002 polygons
+    rows = [(r["id"], r["region"]) for r in regions.label_regions(twice, many).collect()]
+    assert sorted(rows) == sorted(2 * [(1, "first"), (2, "NULL"), (3, "first"), (4, "NULL")])
 
 
 def test_constant_features_and_pivot(spark):
@@ -135,3 +137,23 @@ def test_fill_missing_keeps_old(spark):
     old = spark.createDataFrame([(1, 1.0), (2, None), (3, None)], "id long, value double")
     new = spark.createDataFrame([(1, 9.0), (2, 8.0)], "id long, value double")
     assert {r["id"]: r["value"] for r in fill_missing(old, new, ["id"]).collect()} == {1: 1.0, 2: 8.0, 3: None}
+
+
+@pytest.mark.parametrize("kind", ["fixed", "edge", "degree"])
+def test_nearest_on_rasters(spark, kind):
+    s = lattice(spark, 60, 0.1)[0]
+    samples = spark.createDataFrame(s).withColumn("grid_length", F.lit(GRID.grid_length))
+    raster = {"fixed": lambda: gr.fixed_count_raster(spark, GRID, 12, 12), "edge": lambda: gr.edge_raster(spark, GRID), "degree": lambda: gr.degree_raster(spark, GRID, 0.5)}[kind]()
+    got = fill.fill_points(samples, GRID, "nn", raster).toPandas()
+    for (dataset, name), part in got.groupby(["datasetName", "name"]):
+        own = s[(s.datasetName == dataset) & (s.name == name)]
+        d = np.hypot(part.box_lat.to_numpy()[:, None] - own.lat.to_numpy(), part.box_lon.to_numpy()[:, None] - own.lon.to_numpy())
+        value = own.value.to_numpy()
+        assert all(abs(value[np.abs(row - row.min()) < 1e-9] - v).min() < 1e-9 for row, v in zip(d, part.value))
+    assert len(got) == raster.count() * s.groupby(["datasetName", "name"]).ngroups
+
+
+def test_samples_outside_the_bounds_have_no_box(spark):
+    s = spark.createDataFrame([("d", "f", 1, 46.5, -52.5, 1.0), ("d", "f", 2, 46.5, -59.0, 2.0)], "datasetName string, name string, index long, lat double, lon double, value double")
+    assert [r["value"] for r in box_values(s, GRID).collect()] == [2.0]
+    assert [r["n"] for r in outside(s, GRID).collect()] == [1]
