@@ -21,6 +21,7 @@ from gridfill.operators.regions import convex_hulls
 from gridfill.session import materialize
 
 KEYS = ["datasetName", "name"]
+SNAP = 1e-4             # box units below which positions are one
 FIRST_K = 32
 TIE = 1e-9              # relative difference below which points count as on one circle
 RIM = 1 - 1e-9
@@ -130,13 +131,15 @@ def stars(own: np.ndarray, x: np.ndarray, y: np.ndarray, ids: np.ndarray, seen_a
 
 
 def _mesh_points(samples: DataFrame, grid: Grid) -> DataFrame:
-    """Samples with position u, v in box units; one per position."""
+    """Samples with position u, v in box units; one per position. Positions in one cell of SNAP box units are the same
+    one, that of the lowest index: triangles between them would be thinner than their coordinates are exact."""
     rows = samples.where(F.col("value").isNotNull())
     if {"box_x", "box_y"} <= set(samples.columns):
         return rows.select(*KEYS, "index", (F.col("box_x") + 0.5).alias("u"), (F.col("box_y") + 0.5).alias("v"), "value")
     placed = rows.select(*KEYS, "index", ((F.col("lat") - grid.lat_min) / grid.lat_gap).alias("u"),
                          ((F.col("lon") - grid.lon_min) / grid.lon_gap).alias("v"), "value")
-    return first_per_position(placed, "index", "u", "v", KEYS)
+    cells = placed.withColumns({"_su": F.floor(F.col("u") / SNAP), "_sv": F.floor(F.col("v") / SNAP)})
+    return first_per_position(cells, "index", "_su", "_sv", KEYS).drop("_su", "_sv")
 
 
 def _star_udf(k: int, ratio: float):
@@ -186,6 +189,11 @@ def delaunay(samples: DataFrame, grid: Grid, first_k: int = FIRST_K) -> DataFram
         pending = done.where("not star.ok").select(*KEYS, "box_index", "x", "y", "own_value", F.col("x").alias("u"), F.col("y").alias("v"))
         if pending.isEmpty():
             break
+        if hulls is None:
+            most = points.groupBy(*KEYS).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if k >= most:  # every sample was seen, so more neighbours would change nothing
+            named = [tuple(r) for r in pending.select(*KEYS, "box_index").orderBy(*KEYS, "box_index").limit(10).collect()]
+            raise ValueError(f"no closed star of triangles around the samples {named}: their positions are too close to a line or each other")
         if hulls is None:
             corners = convex_hulls(points.select(*KEYS, F.col("u").alias("lat"), F.col("v").alias("lon")), KEYS)
             hulls = materialize(corners.select(*KEYS, F.col("vertices.lat").alias("hx"), F.col("vertices.lon").alias("hy")))

@@ -56,6 +56,68 @@ def empirical_variogram(means: DataFrame, grid: Grid, max_lag: float, n_lags: in
         *KEYS, "lag", (F.col("_d") / F.col("n")).alias("dist"), (F.col("_g") / F.col("n")).alias("gamma"), "n")
 
 
+def extent(grid: Grid) -> float:
+    """No two box centres of the grid are further apart, in degrees."""
+    return float(np.hypot(grid.x_num * grid.lat_gap, grid.y_num * grid.lon_gap))
+
+
+def full_variogram(means: DataFrame, grid: Grid, n_lags: int = 6) -> DataFrame:
+    """The same over all pairs of a feature, in time that grows with the boxes and not with the pairs.
+
+    Pairs of one offset are added up at once: with the mask m, values v and squares w of the boxes, the sum of squared
+    differences over an offset is the correlation of m with w, of w with m, less twice that of v with itself. A
+    correlation over the grid is a Fourier transform along grid rows and one along columns, each row, block of columns and
+    offset row being a group of its own, bounded by the grid's width or height.
+    """
+    width, height, block = 2 * grid.y_num, 2 * grid.x_num, 64
+    step = extent(grid) / n_lags
+    known = means.where(F.col("value").isNotNull())
+    centred = known.join(known.groupBy(*KEYS).agg(F.avg("value").alias("_mean")), KEYS).select(
+        *KEYS, "box_x", "box_y", (F.col("value") - F.col("_mean")).alias("v"))  # near zero, so squares lose no digits
+    blocks = range(0, width // 2 + 1, block)
+
+    def named(pdf: pd.DataFrame, **columns) -> pd.DataFrame:
+        return pd.DataFrame({"datasetName": str(pdf["datasetName"].iloc[0]), "name": str(pdf["name"].iloc[0]), **columns})
+
+    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
+        line = np.zeros((3, width))
+        at, v = pdf["box_y"].to_numpy(), pdf["v"].to_numpy()
+        line[:, at] = np.ones(len(v)), v, v * v
+        wave = np.fft.rfft(line)
+        return named(pdf, part=list(blocks), at=int(pdf["box_x"].iloc[0]), data=[np.ascontiguousarray(wave[:, b:b + block]).tobytes() for b in blocks])
+
+    def columns(pdf: pd.DataFrame) -> pd.DataFrame:
+        lines = [np.frombuffer(d, complex).reshape(3, -1) for d in pdf["data"]]
+        plane = np.zeros((3, height, lines[0].shape[1]), complex)
+        plane[:, pdf["at"].to_numpy()] = np.stack(lines, axis=1)
+        m, v, w = np.fft.fft(plane, axis=1)
+        n, s = np.abs(m) ** 2, 2 * (m.conj() * w).real - 2 * np.abs(v) ** 2
+        both = np.fft.ifft(np.stack([n, s]), axis=1)[:, :grid.x_num]
+        return named(pdf, part=int(pdf["part"].iloc[0]), at=list(range(grid.x_num)), data=[np.ascontiguousarray(both[:, x]).tobytes() for x in range(grid.x_num)])
+
+    def offsets(pdf: pd.DataFrame) -> pd.DataFrame:
+        dx = int(pdf["at"].iloc[0])
+        ordered = pdf.sort_values("part")["data"]
+        n, s = np.fft.irfft(np.concatenate([np.frombuffer(d, complex).reshape(2, -1) for d in ordered], axis=1), width)
+        dy = np.arange(width)
+        dy = np.where(dy >= grid.y_num, dy - width, dy)
+        n = np.rint(n).astype(np.int64)
+        used = (n > 0) & ((dx > 0) | (dy > 0))
+        n, half = n[used], 0.5 * s[used]
+        d = np.hypot(dx * grid.lat_gap, dy[used] * grid.lon_gap)
+        lag = np.minimum((d / step).astype(np.int64), n_lags - 1)
+        count, dist, gamma = (np.bincount(lag, weights=x, minlength=n_lags) for x in (n, d * n, half))
+        there = np.flatnonzero(count)
+        return named(pdf, lag=there.astype(np.int64), s_dist=dist[there], s_gamma=gamma[there], n=np.rint(count[there]).astype(np.int64))
+
+    wave = "datasetName string, name string, part int, at int, data binary"
+    spread = centred.groupBy(*KEYS, "box_x").applyInPandas(rows, wave)
+    turned = spread.groupBy(*KEYS, "part").applyInPandas(columns, wave)
+    sums = turned.groupBy(*KEYS, "at").applyInPandas(offsets, "datasetName string, name string, lag long, s_dist double, s_gamma double, n long")
+    return sums.groupBy(*KEYS, "lag").agg(F.sum("n").alias("n"), F.sum("s_dist").alias("_d"), F.sum("s_gamma").alias("_g")).select(
+        *KEYS, "lag", (F.col("_d") / F.col("n")).alias("dist"), (F.col("_g") / F.col("n")).alias("gamma"), "n")
+
+
 def _start(model: str, h: np.ndarray, g: np.ndarray) -> np.ndarray:
     if model == "linear":
         return np.array([(g.max() - g.min()) / max(h.max() - h.min(), 1e-12), g.min()])

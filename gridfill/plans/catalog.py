@@ -666,6 +666,15 @@ def i3(spark, sf):
     return variogram.empirical_variogram(base.order_means(spark, sf), GRID, 0.8).select("name", "lag", "n", rounded("dist").alias("dist"), rounded("gamma", 2).alias("gamma"))
 
 
+@query("i3_variogram_all", with_(oracle.prelude(), f"""SELECT name, lag, round(avg(d),6) AS dist, round(avg(g)/1e6,3) AS gamma, count(*) AS n FROM (
+  SELECT name, d, g, CAST(least(floor(d/({variogram.extent(GRID)!r}::DOUBLE/6)),5) AS BIGINT) AS lag FROM (
+  SELECT a.name, sqrt(pow((a.bx-b.bx)*{GRID.lat_gap!r}::DOUBLE,2)+pow((a.gy-b.gy)*{GRID.lon_gap!r}::DOUBLE,2)) AS d, 0.5*pow(a.value-b.value,2) AS g
+  FROM means a JOIN means b ON a.name=b.name AND a.index<b.index)) GROUP BY ALL"""))
+def i3_all(spark, sf):
+    v = variogram.full_variogram(base.order_means(spark, sf), GRID)
+    return v.select("name", "lag", rounded("dist").alias("dist"), F.round(F.col("gamma") / 1e6, 3).alias("gamma"), "n")
+
+
 @query("i3_variogram_fit", with_(f"{VARIOGRAM}, fit AS (SELECT name, regr_slope(gamma,dist) AS s, avg(gamma) AS g, regr_intercept(gamma,dist) AS c, sum(dist*gamma)/sum(dist*dist) AS t FROM vg GROUP BY name)",
        "SELECT name, round(CASE WHEN s<0 THEN 0e0 WHEN c<0 THEN t ELSE s END,0) AS slope, round(CASE WHEN s<0 THEN g WHEN c<0 THEN 0e0 ELSE c END,0) AS nugget FROM fit"))
 def i3_fit(spark, sf):

@@ -14,7 +14,7 @@ from gridfill.operators.grid import Grid
 from gridfill.operators.mesh import boxes_in_triangles, delaunay, linear_triangulation, natural_neighbour
 from gridfill.operators.neighbors import knn
 from gridfill.operators.rbf import tiled_rbf
-from gridfill.operators.variogram import empirical_variogram, fit_variogram
+from gridfill.operators.variogram import empirical_variogram, fit_variogram, full_variogram
 from gridfill.plans import registry as reg
 from gridfill.session import materialize
 
@@ -35,8 +35,9 @@ def _kriging(params: dict) -> Callable:
     k, model = int(params.get("n_closest_points", 5)), params.get("variogram_model", "linear")
 
     def run(targets: DataFrame, means: DataFrame, grid: Grid) -> DataFrame:
-        lag = params.get("max_lag", 10 * max(grid.lat_gap, grid.lon_gap))
-        fitted = materialize(fit_variogram(empirical_variogram(means, grid, lag), model))
+        near_only = params.get("max_lag")
+        pairs = full_variogram(means, grid) if near_only is None else empirical_variogram(means, grid, near_only)
+        fitted = materialize(fit_variogram(pairs, model))
         near = knn(targets, means, grid, k, metric=params.get("metric", "degrees"), exact=params.get("exact", True))
         return solvers.ordinary_kriging(near.join(fitted, KEYS, "left"), k, model).select(*KEYS, "box_index", "value")
 
