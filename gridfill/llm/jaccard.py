@@ -108,7 +108,7 @@ def parts_of(c: int, threshold: int) -> tuple[int, int]:
     """(parts, most parts in which linked sets differ) of class c, for sets below the next class."""
     most = 2 * (classes(threshold)[c + 1] - 1)
     k = (100 - threshold) * most // (100 + threshold)
-    return k + 2 + k // 5, k
+    return k + 2 + (k // 5 if k < 20 else max(4, k // 10)), k
 
 
 def light_pairs(n: int, upto: int, threshold: int) -> list[tuple[int, int]]:
@@ -325,10 +325,8 @@ def _possible(held: list[pa.RecordBatch], threshold: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b"])
 
 
-def links(docs: DataFrame, found: DataFrame, size: int, threshold: int, text: str = "text") -> DataFrame:
+def links(docs: DataFrame, found: DataFrame, light: DataFrame, lists: DataFrame, size: int, threshold: int, text: str = "text") -> DataFrame:
     """(a, b): links between nodes, as many as it takes to connect all that are connected."""
-    light = materialize(light_links(found))
-    lists = inverted_lists(found)
     sets = sets_of(docs, found, lists.select("node").distinct(), size, text)
     weight = lists.groupBy("node").agg(F.sum("size").alias("weight"))
     centre = lists.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("b"))
@@ -340,8 +338,11 @@ def links(docs: DataFrame, found: DataFrame, size: int, threshold: int, text: st
 
 def grouped(docs: DataFrame, size: int, threshold: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, body, n, node, label) per row that has words; equal labels are one component."""
-    found = materialize(keyed(docs, size, threshold, key, text))
-    labels = components(links(docs, found, size, threshold, text)).withColumnRenamed("id", "node")
+    with_keys = materialize(keyed(docs, size, threshold, key, text))
+    light, lists = materialize(light_links(with_keys)), inverted_lists(with_keys)
+    found = materialize(with_keys.select("doc_id", "body", "n", "node"))
+    drop(with_keys)  # the keys are most of what is on disk, and only the lists needed them
+    labels = components(links(docs, found, light, lists, size, threshold, text)).withColumnRenamed("id", "node")
     nodes = materialize(found.filter(col("n") > 0).select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
     return found.select("doc_id", "body", "n", "node").join(nodes, "node", "left")
 
