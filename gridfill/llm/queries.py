@@ -126,9 +126,46 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(_table(spark, sf_dir, "documents")).select(*names)
 
 
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+grams AS (SELECT rid, i, w[i:i+4] AS g FROM w, unnest(range(1, len(w) - 3)) AS u(i) WHERE len(w) >= 5),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM grams) WHERE c > 1),
+covered AS (SELECT rid, count(DISTINCT i + o) AS n FROM twice, unnest(range(5)) AS u(o) GROUP BY rid),
+lines AS (SELECT rid, host, text, line,
+    regexp_replace(trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[0-9]+', '0', 'g') AS norm
+  FROM (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+sizes AS (SELECT host, count(DISTINCT text) AS n_texts FROM d GROUP BY host),
+common AS (SELECT host, norm FROM lines JOIN sizes USING (host) GROUP BY host, norm, n_texts HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.05 * n_texts),
+per AS (SELECT rid, count(*) - count(DISTINCT line) AS dup, sum(length(line)) AS chars, count(c.norm) AS n_common, coalesce(sum(length(line)) FILTER (WHERE c.norm IS NOT NULL), 0) AS gone
+  FROM lines l LEFT JOIN common c ON c.host = l.host AND c.norm = l.norm GROUP BY rid),
+f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(d.text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(d.text) - length(translate(d.text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+    coalesce(covered.n, 0) AS n_repeat_words, coalesce(n_common, 0) AS n_common_lines, coalesce(n_common > 0 AND chars - gone < 0.2 * chars, false) AS poor
+  FROM d JOIN w USING (rid) LEFT JOIN covered USING (rid) LEFT JOIN per USING (rid)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT poor AS kept, n_common_lines FROM b
+"""
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(_table(spark, sf_dir, "documents"), size=4, threshold=85)
 
 
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (SELECT DISTINCT rid, w[i:i+3] AS g FROM d, unnest(range(1, greatest(len(w) - 2, 2))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+e AS (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, e.y FROM reach r JOIN e ON e.x = r.b)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(o.doc_id) AS component_id
+FROM d LEFT JOIN n USING (rid) JOIN reach ON reach.a = d.rid JOIN d o ON o.rid = reach.b GROUP BY d.rid, d.doc_id
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_licenses, op2_chats, op3_toxicity, op4_bpe, op5_packing, op6_weak_labels, op7_url_cascade, op8_top_k, op9_line_rules, op10_jaccard)}
-ORACLES = {"op2_chats": OP2_SQL, "op7_url_cascade": OP7_SQL, "op8_top_k": OP8_SQL}
+ORACLES = {"op2_chats": OP2_SQL, "op7_url_cascade": OP7_SQL, "op8_top_k": OP8_SQL, "op9_line_rules": OP9_SQL, "op10_jaccard": OP10_SQL}
