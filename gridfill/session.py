@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import uuid
@@ -90,6 +91,13 @@ def drop(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished queries now. It does so only when the driver collects garbage, which a
+    driver with little work does long after the disks of the executors have filled."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete every intermediate table of this application; results that still read them must be written first."""
     _delete(spark, run_folder(spark))
