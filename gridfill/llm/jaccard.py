@@ -34,7 +34,7 @@ from pyspark.sql.functions import col
 
 from gridfill.llm.components import components
 from gridfill.llm.words import WordTable, slices
-from gridfill.session import drop, materialize
+from gridfill.session import drop, materialize, sweep
 
 #: Growth of the size classes; buckets of the overlap bound; members of a list that one task compares with as many others.
 GROWTH, BUCKETS, BLOCK = 1.5, 256, 512
@@ -216,6 +216,7 @@ def inverted_lists(found: DataFrame) -> DataFrame:
     rows = found.select("node", F.explode("parts").alias("key")).repartition("key")  # dealt once, read for both sides
     several = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter(col("lo") < col("hi")).select("key")
     lists = materialize(rows.join(several, "key").select("key", "node").distinct())
+    sweep(found.sparkSession)
     part = lambda seed: F.sum(F.xxhash64(F.lit(seed), "node").bitwiseAND(F.lit((1 << 40) - 1)))
     same = lists.groupBy("key").agg(F.count(F.lit(1)).alias("size"), part(1).alias("x"), part(2).alias("y"))
     one = same.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size")
@@ -328,10 +329,12 @@ def _possible(held: list[pa.RecordBatch], threshold: int) -> pa.RecordBatch:
 def links(docs: DataFrame, found: DataFrame, light: DataFrame, lists: DataFrame, size: int, threshold: int, text: str = "text") -> DataFrame:
     """(a, b): links between nodes, as many as it takes to connect all that are connected."""
     sets = sets_of(docs, found, lists.select("node").distinct(), size, text)
+    sweep(docs.sparkSession)
     weight = lists.groupBy("node").agg(F.sum("size").alias("weight"))
     centre = lists.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("b"))
     star = lists.join(centre, "key").filter(col("node") != col("b")).select(col("node").alias("a"), "b").distinct()
     first = materialize(verified(star, sets, threshold).unionByName(light))
+    sweep(docs.sparkSession)
     more = verified(cross_pairs(lists, sets, components(first), threshold), sets, threshold)
     return materialize(first.unionByName(more))
 
@@ -342,6 +345,7 @@ def grouped(docs: DataFrame, size: int, threshold: int, key: str = "doc_id", tex
     light, lists = materialize(light_links(with_keys)), inverted_lists(with_keys)
     found = materialize(with_keys.select("doc_id", "body", "n", "node"))
     drop(with_keys)  # the keys are most of what is on disk, and only the lists needed them
+    sweep(docs.sparkSession)
     labels = components(links(docs, found, light, lists, size, threshold, text)).withColumnRenamed("id", "node")
     nodes = materialize(found.filter(col("n") > 0).select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
     return found.select("doc_id", "body", "n", "node").join(nodes, "node", "left")
