@@ -8,8 +8,8 @@ than linked sets of that size may differ in, so linked sets agree on a whole par
 part instead of one per shingle: lists of frequent shingles, lines or passages are not scanned. The boundary is the size where
 enumerating a set's subsets costs more than its parts and their verification (`boundary`).
 
-Lists are scanned in two steps that together lose no link between components. First every set is verified against its list's
-most central member. Then only lists that still hold several components are looked at: pairs from different components
+Lists are scanned in two steps that together lose no link between components. First every set is verified against the
+most central member of its lists. Then only lists that still hold several components are looked at: all pairs from different components
 whose overlap is possible by bucket counts (an upper bound) are verified, in blocks, so no list is ever held by one task.
 
 Defined results: a null text has no words, an empty set and no links; its component is its own id. With fewer words than a
@@ -331,8 +331,10 @@ def links(docs: DataFrame, found: DataFrame, light: DataFrame, lists: DataFrame,
     sets = sets_of(docs, found, lists.select("node").distinct(), size, text)
     sweep(docs.sparkSession)
     weight = lists.groupBy("node").agg(F.sum("size").alias("weight"))
-    centre = lists.join(weight, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("b"))
-    star = lists.join(centre, "key").filter(col("node") != col("b")).select(col("node").alias("a"), "b").distinct()
+    centre = lists.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("c"))
+    star = lists.join(centre, "key").filter(col("node") != col("c.node"))
+    # Only a node's most central list: a pair costs two sets to verify, and what this leaves apart is looked at below.
+    star = star.groupBy(col("node").alias("a")).agg(F.max("c")["node"].alias("b"))
     first = materialize(verified(star, sets, threshold).unionByName(light))
     sweep(docs.sparkSession)
     more = verified(cross_pairs(lists, sets, components(first), threshold), sets, threshold)
