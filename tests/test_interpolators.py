@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gridfill.operators import simple, solvers
+from gridfill.operators import regions, simple, solvers
 from gridfill.operators.cubic import cubic_patch, minimum_curvature
 from gridfill.operators.grid import Grid
 from gridfill.operators.mesh import boxes_in_triangles, delaunay, linear_triangulation, natural_neighbour, with_vertices
