@@ -4,7 +4,8 @@
 2. The counts of all vote patterns (at most 3 ** labellers rows) give, by expectation-maximisation, how each labeller votes on good and
    on bad documents, and the probability of "good" for each pattern.
 3. A linear scorer over hashed features (shapes of words, of pairs of words, length) is fitted to these probabilities on a bounded
-   sample of rows (lowest hash of the text), so it judges by more than the votes.
+   sample of distinct texts (lowest hash), so it judges by more than the votes. Each of them has weight 1, however many copies
+   it has: a text that fills much of the table is no more of the sample than any other.
 
 Defined results: a null text is an empty one. Copies of a row have the same votes and score; each gets a row. An empty table
 gives none, and the scorer then calls everything good. Columns other than id and text are ignored, and kept by `scored`.
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most rows that the scorer is fitted to, and buckets of its features.
+#: Most distinct texts that the scorer is fitted to, and buckets of its features.
 ROWS, BUCKETS = 8_000, 4096
 #: Shares of votes that differ by less count as equal.
 SLACK = 0.002
@@ -149,9 +150,13 @@ class Scorer:
 
 
 def fit_scorer(docs: DataFrame, model: LabelModel, rows: int = ROWS, text: str = "text") -> Scorer:
-    """Logistic regression on the posterior labels of at most `rows` documents."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    chosen = docs.select(body.alias("text")).withColumn("h", F.xxhash64("text")).orderBy("h").limit(rows)
+    """Logistic regression on the posterior labels of at most `rows` distinct texts, each with weight 1.
+
+    The keys of the lowest hashes are found first; only then texts are read, one of each key per task and then one of each.
+    """
+    keyed = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).select("text", F.xxhash64("text").alias("h"), F.crc32("text").alias("c"))
+    lowest = keyed.select("h", "c").distinct().orderBy("h", "c").limit(rows)
+    chosen = keyed.join(F.broadcast(lowest), ["h", "c"]).dropDuplicates(["h", "c"])
     cast = votes(F.col("text"))
 
     @F.pandas_udf("struct<b:array<int>,v:array<double>>")
@@ -160,7 +165,8 @@ def fit_scorer(docs: DataFrame, model: LabelModel, rows: int = ROWS, text: str =
             found = [features(s) for s in shaped]
             yield pd.DataFrame({"b": [list(f) for f in found], "v": [list(f.values()) for f in found]})
 
-    table = chosen.select(hashed(shape(F.col("text"))).alias("f"), F.array(*(c.cast("int") for c in cast.values())).alias("votes")).collect()
+    table = chosen.select(hashed(shape(F.col("text"))).alias("f"), F.array(*(c.cast("int") for c in cast.values())).alias("votes"), "h", "c").collect()
+    table.sort(key=lambda r: (r["h"], r["c"]))  # sums in one order: the same texts give the same scorer
     if not table:
         return Scorer()
     y = model.posterior(np.array([r["votes"] for r in table], np.int64))

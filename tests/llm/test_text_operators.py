@@ -215,6 +215,19 @@ def test_quality_scores(spark, odd):
     assert weak_labels.scored(odd, scorer, "p").count() == len(ODD)
 
 
+def test_copies_do_not_use_up_the_quality_sample(spark, docs):
+    texts = docs.select("text").dropna().distinct()
+    model = weak_labels.label_model(texts)
+    plenty = spark.range(20_000).select(F.concat_ws(" ", F.lit("one text"), "id").alias("text"))
+    copied = plenty.orderBy(F.xxhash64("text")).limit(1).select("text")
+    assert copied.select(F.xxhash64("text")).first()[0] < texts.agg(F.min(F.xxhash64("text"))).first()[0]  # it is first in the sample
+    copies = copied.select("text", F.explode(F.sequence(F.lit(1), F.lit(10_000)))).select("text")
+    expected = weak_labels.fit_scorer(texts.union(copied), model)
+    found = weak_labels.fit_scorer(texts.union(copies), model)
+    assert np.count_nonzero(expected.weights) > 100
+    assert np.array_equal(found.weights, expected.weights) and found.bias == expected.bias
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert licenses.scan(none).count() == line_rules.judge(none).count() == 0
