@@ -1,10 +1,12 @@
-"""License scan by a positional index of rare licence words, in column functions only.
+"""License scan by a positional index of licence words, in column functions only.
 
 1. Count, over all documents, in how many each template word stands (its IDF in this corpus).
-2. Index each template's `anchors` rarest words, and the rarest word of each mandatory phrase, with their places.
-3. Look up the indexed words of every document, in place, with the few words around each hit.
-4. A hit at p of a posting at q speaks for a copy of the template at p - q. Hits of one (text, template, place) are added
-   up; a copy counts if its anchors hold at least `share` of the IDF and every mandatory phrase is verified in its place.
+2. Index the rarest word of each template's mandatory phrase with its place. A copy holds that word in its place, so no copy
+   is missed; a template without a phrase has all its words indexed.
+3. Look up the indexed words of every document, in place, with the words around each hit that the longest template reaches.
+4. A hit at p of a posting at q speaks for a copy of the template at p - q. All words of the template are compared with the
+   text in their places; a copy counts if those that agree hold at least `share` of the IDF, and every mandatory phrase
+   stands in its place.
 
 Only hits are shuffled, once per distinct text. Postings are as many as the templates' words and travel as literals.
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from math import log
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +29,6 @@ from gridfill.session import materialize
 #: What stands between words, after A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Words kept on either side of a hit; phrases are at most this long.
-AROUND = 8
 
 #: Phrases that alone decide. Fixed values.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -72,27 +73,35 @@ def frequencies(docs: DataFrame, words: list[str], text: str = "text") -> dict[s
     return {**dict.fromkeys(words, 0), **{r["w"]: r["n"] for r in counted.collect()}}
 
 
-def postings(templates: tuple[Template, ...], n: dict[str, int], anchors: int) -> list[tuple]:
-    """(word, template, place, phrase or '', weight): a template's rarest words, and the rarest one of each phrase."""
-    total = max([1, *n.values()])
-    weight = lambda w: 1.0 + (total / (1 + n[w]))  # noqa: E731  monotone in the IDF and never zero
+def postings(templates: tuple[Template, ...], n: dict[str, int]) -> list[tuple]:
+    """(word, template, place): the rarest word of a template's first phrase, or all its words if it has none."""
     out = []
     for t, template in enumerate(templates):
         words = template.text.split()
-        rare = sorted(dict.fromkeys(words), key=lambda w: (n[w], w))[:anchors]
-        out += [(w, t, words.index(w), "", _idf(weight(w))) for w in rare]
-        for phrase in template.phrases:
-            part = phrase.split()
-            start = next(i for i in range(len(words)) if words[i : i + len(part)] == part)
-            w = min(part, key=lambda w: (n[w], w))
-            out.append((w, t, start + part.index(w), phrase, 0.0))
+        places = _places(words, template.phrases[0]) if template.phrases else range(len(words))
+        if template.phrases:
+            places = [min(places, key=lambda i: (n[words[i]], words[i], i))]
+        out += [(words[i], t, i) for i in places]
     return out
 
 
-def _idf(ratio: float) -> float:
-    from math import log
+def _places(words: list[str], phrase: str) -> range:
+    """Where a phrase stands in a template."""
+    part = phrase.split()
+    start = next(i for i in range(len(words)) if words[i : i + len(part)] == part)
+    return range(start, start + len(part))
+
 
-    return log(ratio)
+def weighted(templates: tuple[Template, ...], n: dict[str, int]) -> list[tuple]:
+    """(template, label, words, weights, must): the IDF of each word, and whether it belongs to a mandatory phrase."""
+    total = max([1, *n.values()])
+    out = []
+    for t, template in enumerate(templates):
+        words = template.text.split()
+        must = {i for phrase in template.phrases for i in _places(words, phrase)}
+        # Monotone in the IDF and never zero.
+        out.append((t, template.label, words, [log(1.0 + total / (1 + n[w])) for w in words], [i in must for i in range(len(words))]))
+    return out
 
 
 def _base(words: Column, phrases: dict[str, str]) -> Column:
@@ -112,14 +121,16 @@ def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(values))
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE, anchors: int = 4, share: float = 0.6, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dict[str, str] = BASE, share: float = 0.6, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches) per document.
 
     matches: (label, at, score) of every verified template copy.
     """
     spark = docs.sparkSession
     vocabulary = sorted({w for t in templates for w in t.text.split()})
-    index = postings(templates, frequencies(docs, vocabulary, text), anchors)
+    n = frequencies(docs, vocabulary, text)
+    index = postings(templates, n)
+    around = max([1, *(len(t.text.split()) for t in templates)]) - 1
     indexed = sorted({p[0] for p in index})
 
     body = F.coalesce(F.col("_text"), F.lit(""))
@@ -129,7 +140,8 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dic
     # Candidates for a base phrase are those whose letters hold it; the words decide.
     rows = rows.withColumn("_placed", F.when(maybe, F.struct(F.col("_words").alias("w"))))
     places = F.array_sort(F.when(F.col("_placed").isNotNull(), _base(F.col("_placed.w"), base)))
-    around = lambda i: F.array_join(F.slice("_words", F.greatest(F.lit(1), i + 1 - AROUND), F.lit(2 * AROUND + 1) + F.least(F.lit(0), i - AROUND)), " ")
+    first = lambda i: F.greatest(F.lit(0), i - around)
+    near = lambda i: F.slice("_words", first(i) + 1, i - first(i) + around + 1)
     hits = F.filter(F.transform("_words", lambda w, i: F.when(w.isin(indexed), F.struct(w.alias("w"), i.alias("p")))), lambda x: x.isNotNull())
     rows = rows.withColumn("_base", places).withColumn("_found", hits)
     facts = materialize(
@@ -138,24 +150,25 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, base: dic
             F.size("_words").cast("long").alias("n_words"),
             F.coalesce(F.col("_base"), F.array().cast("array<struct<at:bigint,label:string>>")).alias("_base"),
             F.when(F.size("_found") > 0, F.struct(F.xxhash64(body).alias("a"), F.crc32(body).alias("b"), F.length(body).alias("n"))).alias("_id"),
-            F.transform("_found", lambda x: F.struct(x["w"].alias("w"), x["p"].alias("p"), F.concat(F.lit(" "), around(x["p"]), F.lit(" ")).alias("near"))).alias("_hits"),
+            F.transform("_found", lambda x: F.struct(x["w"].alias("w"), x["p"].alias("p"), first(x["p"]).alias("first"), near(x["p"]).alias("near"))).alias("_hits"),
         )
     )
 
-    table = _rows(spark, index, "w string, t int, q int, phrase string, weight double")
-    totals = [(t, x.label, sum(p[4] for p in index if p[1] == t), len(x.phrases)) for t, x in enumerate(templates)]
-    full = _rows(spark, totals, "t int, label string, total double, n_phrases int")
+    full = weighted(templates, n)
+    table = _rows(spark, [(w, q, *full[t]) for w, t, q in index], "w string, q int, t int, label string, words array<string>, weights array<double>, must array<boolean>")
+    at = F.col("p") - F.col("q")
+    agree = F.transform("words", lambda word, i: F.coalesce(F.get("near", at + i - F.col("first")) == word, F.lit(False)))
+    added = lambda weights: F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
     copies = (
         facts.filter(F.col("_id").isNotNull()).select("_id", "_hits").dropDuplicates(["_id"])
-        .select("_id", F.explode("_hits").alias("h")).select("_id", "h.*").join(F.broadcast(table), "w")
-        .withColumn("ok", F.col("phrase") != "")
-        .filter(~F.col("ok") | F.expr("instr(near, concat(' ', phrase, ' ')) > 0"))
-        .groupBy("_id", "t", (F.col("p") - F.col("q")).alias("at"))
-        .agg(F.sum("weight").alias("weight"), F.count_distinct(F.when(F.col("ok"), F.col("phrase"))).alias("n_ok"))
-        .join(F.broadcast(full), "t")
-        .withColumn("score", F.least(F.lit(1.0), F.col("weight") / F.col("total")))
-        .filter((F.col("n_ok") == F.col("n_phrases")) & (F.col("score") >= share))
-        .groupBy("_id").agg(F.array_sort(F.collect_list(F.struct(F.col("at").cast("long").alias("at"), "label", "score"))).alias("matches"))
+        .select("_id", F.explode("_hits").alias("h")).select("_id", "h.*")
+        .join(F.broadcast(table), "w")
+        .withColumn("agree", agree)
+        .filter(F.forall(F.zip_with("agree", "must", lambda a, m: a | ~m), lambda x: x))
+        .withColumn("score", added(F.zip_with("agree", "weights", lambda a, x: F.when(a, x).otherwise(0.0))) / added("weights"))
+        .filter(F.col("score") >= share)
+        .groupBy("_id").agg(F.collect_set(F.struct(at.cast("long").alias("at"), "label", "score", "t")).alias("found"))
+        .select("_id", F.array_sort(F.transform("found", lambda m: F.struct(m["at"].alias("at"), m["label"].alias("label"), m["score"].alias("score")))).alias("matches"))
     )
     out = facts.join(materialize(copies), "_id", "left")
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")

@@ -65,6 +65,17 @@ def test_license_templates_need_their_phrases(spark):
     assert all(0 <= r.score <= 1 for r in found.values())
 
 
+def test_license_copies_are_judged_by_all_their_words(spark):
+    filler = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(1, f"{filler} redistribution or use in source and binary forms with or without modification is permitted {filler}"),
+                                (2, f"{filler} permission is hereby granted free of charge to any person who is obtaining a copy of this software {filler}"),
+                                (3, f"{filler} source and binary forms {filler}")], "doc_id long, text string")
+    found = {r.doc_id: r for r in licenses.scan(df).collect()}
+    assert found[1].labels == "bsd" and found[1].matches[0].at == 40 and 0.6 <= found[1].score < 1  # two words of its four rarest are changed
+    assert found[2].labels == "mit" and found[2].matches[0].at == 40  # what follows the new words is out of place
+    assert found[3].labels == "" and found[3].score == 0
+
+
 def line_facts(text):
     w = spaced(text)
     places = defaultdict(list)
