@@ -1,8 +1,9 @@
 """Best-fit packing of tokenised documents into fixed-length sequences (best-two-fit).
 
 `tokenise` cuts each document's ids into pieces of at most `capacity`; `pack` deals the pieces to partitions by a hash of
-(document, piece) and packs each partition in blocks of bounded size. Dealing is even whatever the documents' keys or
-sources are, and each block leaves at most one sequence that is not well filled, so nothing is lost by not packing globally.
+(document, piece, ids) and packs each partition in blocks of bounded size. Dealing is even whatever the documents' keys or
+sources are; only equal pieces of rows that share an id go together. Each block leaves at most one sequence that is not
+well filled, so nothing is lost by not packing globally.
 
 Defined results: a null text is an empty one, its only piece is the end id. Null or repeated ids are kept: every row is
 a document of its own. Empty tables give empty results. Other columns are ignored.
@@ -194,8 +195,9 @@ def two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 def pack(pieces: DataFrame, capacity: int, parts: int) -> DataFrame:
     """`pieces` (doc_id, piece, start, length, ids) with sequence_id and offset, sequences in order.
 
-    One shuffle, dealt by a hash of (doc_id, piece, start), so a hot document or source is spread. A partition is streamed:
-    only a block of BLOCK_BYTES is held. Rows are sorted first: a task that runs again gives the same sequences.
+    One shuffle, dealt by a hash of (doc_id, piece, start, ids), so a hot document or source is spread, and so are rows with
+    one id or none. A partition is streamed: only a block of BLOCK_BYTES is held. Rows are sorted first: a task that runs
+    again gives the same sequences.
     """
     capacity = int(capacity)
 
@@ -212,7 +214,7 @@ def pack(pieces: DataFrame, capacity: int, parts: int) -> DataFrame:
             yield from _packed(held, capacity, made)[1]
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    dealt = pieces.repartition(parts, F.xxhash64("doc_id", "piece", "start")).sortWithinPartitions("doc_id", "piece", F.crc32("ids"))
+    dealt = pieces.repartition(parts, F.xxhash64("doc_id", "piece", "start", F.crc32("ids"))).sortWithinPartitions("doc_id", "piece", F.crc32("ids"))
     return dealt.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary, sequence_id bigint, offset bigint")
 
 

@@ -166,6 +166,16 @@ def test_packing_round_trip(docs, odd):
         assert len(places) <= 1.05 * total / 1024 + 2
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_pieces_of_rows_that_share_an_id_are_spread(spark, doc_id):
+    rows = [(doc_id, 0, 0, 2, np.array([i, 2], "<u4").tobytes()) for i in range(400)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids binary")
+    packed = packing.pack(pieces, 16, 8).collect()
+    assert Counter(bytes(r.ids) for r in packed) == Counter(r[4] for r in rows)
+    parts = Counter(r.sequence_id >> 32 for r in packed)
+    assert len(parts) == 8 and max(parts.values()) < 100
+
+
 def test_two_fit_beats_greedy_filling():
     lengths = np.array([6, 4, 3, 3, 4])  # greedy: 6+4, 4+3+3; both ways need two sequences of ten
     place, offset, made = packing.two_fit(lengths, 10)
