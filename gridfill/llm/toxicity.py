@@ -5,8 +5,9 @@ the lower-cased text agree: a term is matched in the folded one, its ends are ju
 not count. The weights of a text's terms are added, divided by a power of its length in words and turned into a
 probability.
 
-`learn` takes the lexicon from labelled rows: at most `rows` of them (lowest hash of the id), so what is broadcast and what comes
-to the driver is bounded; the rest is counted by Spark. Term and exception counts are per document.
+`learn` takes the lexicon from the texts of at most `rows` labelled ids (lowest hash), so what is broadcast is bounded. Rows of one
+id and one text count once; an id with several texts gives each of them its label. All is counted by Spark: terms and exceptions
+per text, strengths on a fixed scale, so what comes to the driver is bounded whatever number of texts an id has.
 
 Defined results: null and empty texts have no terms and the lowest score. Labels of a document given several times
 count once, toxic first; null labels and ids do not count. Without labels of both kinds the lexicon is empty and every score
@@ -46,6 +47,8 @@ LEAST_WEIGHT = 4.0
 #: Most labelled rows, most terms, most exceptions.
 ROWS, TERMS, PHRASES = 40_000, 2_000, 2_000
 WORDS = re.compile(r"[^\W_][^\s]*[^\W_]|[^\W_]").findall
+#: Steps of a unit of log(1 + strength) for which texts are counted to fit the probability.
+STEPS = 1_000
 #: Letters of a stem. A term that ends in OPEN is a stem: the word may go on.
 STEM, OPEN = range(4, 9), "*"
 
@@ -110,11 +113,12 @@ class Matcher:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int, key: str, text: str, label: str) -> DataFrame:
-    """(text, toxic) of the labelled rows; the sample of labels is small by its bound, so it is broadcast."""
+    """(text, toxic) of the labelled ids' texts, each text of an id once; the sample of labels is small by its bound, so it is broadcast."""
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("toxic")).dropna()
     known = known.groupBy("_key").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_key"), "_key").limit(rows)
     texts = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(known), "_key").select("text", "toxic")
+    found = texts.join(F.broadcast(known), "_key").withColumn("_h", F.xxhash64("text")).withColumn("_c", F.crc32("text"))
+    return found.dropDuplicates(["_key", "_h", "_c"]).select("text", "toxic")
 
 
 def _counted(sample: DataFrame, words_of) -> DataFrame:
@@ -167,11 +171,12 @@ def _odds(n_toxic: int, n_clean: int) -> tuple:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TERMS, phrases: int = PHRASES, exceptions: tuple[str, ...] = EXCEPTIONS,
           key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """The lexicon that these labels support. The `terms` surest words count, and the `phrases` surest exceptions."""
-    sample = _sample(docs, labels, rows, key, text, label)
+    sample = materialize(_sample(docs, labels, rows, key, text, label))
     words = materialize(_counted(sample, _folded_words))
     total = words.filter(F.col("w") == "").first()
     n_toxic, n_clean = (total["n_toxic"], total["n_clean"]) if total else (0, 0)
     if not n_toxic or not n_clean:
+        drop(sample)
         return Lexicon()
     ratio, sure = _odds(n_toxic, n_clean)
     told = words.filter((F.col("w") != "") & (F.col("n_toxic") >= 3)).select("w", ratio.alias("weight"), sure.alias("sure"))
@@ -202,19 +207,22 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TER
     near = near.select("w", ratio.alias("weight"), sure.alias("sure")).filter((F.col("weight") < 0) & (F.col("sure") < -2))
     learned = [r["w"] for r in near.orderBy("sure", "w").limit(phrases).collect()]
     lexicon = Lexicon(weights, tuple(dict.fromkeys([*exceptions, *learned])))
-    table = sample.select(strength(lexicon)("text").alias("s"), "toxic").select("s.strength", "toxic").toPandas()  # at most `rows` rows
-    slope, bias = _logistic(table["strength"].to_numpy(), (table["toxic"] > 0).to_numpy(float))
+    place = F.round(STEPS * F.log1p("s.strength")).cast("long").alias("place")
+    table = sample.select(strength(lexicon)("text").alias("s"), (F.col("toxic") > 0).alias("toxic")).groupBy(place, "toxic").agg(F.count(F.lit(1)).alias("n"))
+    found = np.array(sorted(map(tuple, table.collect())), float)
+    drop(sample)
+    slope, bias = _logistic(np.expm1(found[:, 0] / STEPS), found[:, 1], found[:, 2])
     return Lexicon(weights, lexicon.exceptions, slope, bias)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, decay: float = 1e-2) -> tuple[float, float]:
-    """Slope and bias by Newton steps, with a small decay so that separable data end."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 50, decay: float = 1e-2) -> tuple[float, float]:
+    """Slope and bias of rows that count n times, by Newton steps, with a small decay so that separable data end."""
     a = np.stack([x, np.ones_like(x)], axis=1)
     w = np.zeros(2)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        g = a.T @ (p - y) + decay * w
-        h = (a * (p * (1 - p))[:, None]).T @ a + np.eye(2) * (decay + 1e-9)
+        g = a.T @ (n * (p - y)) + decay * w
+        h = (a * (n * p * (1 - p))[:, None]).T @ a + np.eye(2) * (decay + 1e-9)
         step = np.linalg.solve(h, g)
         w -= step * min(1.0, 5 / (1e-9 + np.abs(step).max()))
     return float(w[0]), float(w[1])

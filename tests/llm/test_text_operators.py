@@ -203,6 +203,15 @@ def test_toxicity_learns_from_the_other_rows_only(spark):
     assert queries.toxic_lexicon(docs, changed) == lexicon
 
 
+def test_toxicity_counts_repeated_rows_once(spark):
+    data = [(i, f"you {'moronic' if i % 4 == 0 else 'pleasant'} person {i}", int(i % 4 == 0)) for i in range(400)] + [(400, "a moronic but harmless word", 0)]
+    df = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    again = df.union(df.filter("doc_id = 400").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(5_000)))))
+    expected = toxicity.learn(df.drop("toxic"), df.drop("text"))
+    assert expected.weights and expected.slope > 0
+    assert toxicity.learn(again.drop("toxic"), df.drop("text")) == expected
+
+
 def test_toxic_terms_are_folded_and_excused(spark, odd):
     lexicon = toxicity.Lexicon({"trash": 5.0, "idio*": 6.0}, ("trash can",), slope=3.0, bias=-3.0)
     matcher = toxicity.Matcher(lexicon)
