@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridfill.llm import bpe, chats, jaccard, licenses, line_rules, packing, topk, toxicity, url_cascade, weak_labels
+from gridfill.llm import bpe, chats, jaccard, languages, licenses, line_rules, packing, phrases, topk, toxicity, url_cascade, weak_labels, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -167,5 +167,47 @@ FROM d LEFT JOIN n USING (rid) JOIN reach ON reach.a = d.rid JOIN d o ON o.rid =
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_licenses, op2_chats, op3_toxicity, op4_bpe, op5_packing, op6_weak_labels, op7_url_cascade, op8_top_k, op9_line_rules, op10_jaccard)}
-ORACLES = {"op2_chats": OP2_SQL, "op7_url_cascade": OP7_SQL, "op8_top_k": OP8_SQL, "op9_line_rules": OP9_SQL, "op10_jaccard": OP10_SQL}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(whitening.quantised(_table(spark, sf_dir, "embeddings")), most=4)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), least=30, most=2000, share=80)
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, size, phrase, count(*) AS f
+  FROM (SELECT lang, k AS size, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM w, unnest(range(1, 5)) AS s(k), unnest(range(1, len(w) - k + 2)) AS u(i))
+  GROUP BY lang, size, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS words FROM f WHERE size > 1),
+cuts AS (SELECT lang, phrase, size, a, k, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k + 1:size], ' ') AS rest FROM c, unnest(range(1, size)) AS s(k)),
+sc AS (
+  SELECT cuts.lang, cuts.phrase, a, k, x.f AS l, y.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = head JOIN f y ON y.lang = cuts.lang AND y.phrase = rest),
+low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM sc) WHERE o = 1),
+inside AS (
+  SELECT lang, array_to_string(words[i:i + k - 1], ' ') AS phrase, max(a) AS longer
+  FROM c, unnest(range(2, size)) AS s(k), unnest(range(1, size - k + 2)) AS u(i) GROUP BY 1, 2),
+free AS (
+  SELECT low.* FROM low LEFT JOIN inside ON inside.lang = low.lang AND inside.phrase = low.phrase
+  WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * a),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM free)
+SELECT best.lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM best JOIN total ON total.lang = best.lang WHERE rank <= 2000
+"""
+
+
+def op13_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = languages.learn(docs.filter(~held_out()), F.crc32(F.col("doc_id").cast("string")) % 5 == 4)
+    found = languages.predicted(docs, model, "found")
+    return found.select("doc_id", held_out().alias("held_out"), F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("score"), F.col("found.ambiguous").alias("ambiguous"))
+
+
+QUERIES = {f.__name__: f for f in (op1_licenses, op2_chats, op3_toxicity, op4_bpe, op5_packing, op6_weak_labels, op7_url_cascade, op8_top_k, op9_line_rules, op10_jaccard,
+                                  op11_whitening, op12_phrases, op13_languages)}
+ORACLES = {"op2_chats": OP2_SQL, "op7_url_cascade": OP7_SQL, "op8_top_k": OP8_SQL, "op9_line_rules": OP9_SQL, "op10_jaccard": OP10_SQL, "op12_phrases": OP12_SQL}
