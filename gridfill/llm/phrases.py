@@ -32,7 +32,7 @@ from gridfill.session import materialize
 #: Words of the longest window.
 WIDTH = 4
 #: Bytes of text cut into words at once.
-SLICE = 16 << 20
+SLICE = 4 << 20
 #: Least and most counters, as powers of two; bytes of text a counter.
 LEAST_BITS, MOST_BITS, BYTES_A_COUNTER = 16, 27, 48
 #: Pieces end at these bytes, words at spaces and tabs. Fixed values.
@@ -53,8 +53,8 @@ class Slice:
         words, row, self.goes_on = cut(texts, KINDS)
         coded, langs = words.dictionary_encode(), rows.column(0).dictionary_encode()
         self.words, self.langs = coded.dictionary, langs.dictionary
-        self.word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        self.lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
+        self.word = coded.indices.to_numpy(zero_copy_only=False)
+        self.lang = langs.indices.to_numpy(zero_copy_only=False)[row]
         hashes = [np.fromiter((xxhash.xxh3_64_intdigest(x, seed) for x in a.to_pylist()), np.uint64, len(a)) for seed, a in ((0, self.words), (1, self.langs))]
         own = _mixed(hashes[0][self.word] ^ hashes[1][self.lang])
         shift = np.uint64(64 - bits)
@@ -87,7 +87,7 @@ def _counters(rows: DataFrame, bits: int, least: int) -> np.ndarray:
 
 def _grouped(keys: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """A row of each group of rows that agree in all keys (numbers from 0), and the groups' sizes."""
-    group = keys[0]
+    group = keys[0].astype(np.int64)
     for key, size in zip(keys[1:], sizes[1:], strict=True):
         group = np.unique(group * size + key, return_inverse=True)[1]
     _, first, n = np.unique(group, return_index=True, return_counts=True)
@@ -117,7 +117,7 @@ def windows(docs: DataFrame, least: int, text: str = "text", lang: str = "lang")
                 whole = link
                 for i in range(1, WIDTH):
                     numbers.append(np.where(whole[: len(first) - i], s.word[i:] + 1, 0))
-                    numbers[-1] = np.concatenate([numbers[-1], np.zeros(min(i, len(first)), np.int64)])[: len(first)]
+                    numbers[-1] = np.concatenate([numbers[-1], np.zeros(min(i, len(first)), np.int32)])[: len(first)]
                     whole = whole[: len(link) - i] & link[i:]
                 for some in (link, ~link):
                     at = np.flatnonzero(some)
