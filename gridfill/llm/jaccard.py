@@ -4,7 +4,7 @@ Equal sets are one node. Two sets link if 100 * intersection >= threshold * unio
 
 Light pairs (both sets up to a size): for each possible pair of sizes the least overlap is a fixed number c. All subsets of size c
 are enumerated; sets that share one link, no pair is looked at. Heavy pairs: the hash space is cut into more parts
-than linked sets of that size may differ in, so linked sets agree on a whole part. The inverted lists have an entry per
+than linked sets of that size may differ in, so linked sets agree on a whole part that is not empty. The inverted lists have an entry per
 part instead of one per shingle: lists of frequent shingles, lines or passages are not scanned. The boundary is the size where
 enumerating a set's subsets costs more than its parts and their verification (`boundary`).
 
@@ -104,13 +104,25 @@ def class_of(n: int, threshold: int) -> int:
     return int(np.searchsorted(classes(threshold), n, side="right")) - 1
 
 
-def parts_of(c: int, threshold: int) -> tuple[int, int]:
-    """(parts, most parts in which linked sets differ) of class c, for sets below the next class."""
-    most = 2 * (classes(threshold)[c + 1] - 1)
+def parts_of(most: int, threshold: int) -> tuple[int, int]:
+    """(parts, most parts in which linked sets differ) for linked sets of at most `most` elements together."""
     k = (100 - threshold) * most // (100 + threshold)
     return k + 2 + (k // 5 if k < 20 else max(4, k // 10)), k
 
 
+def families(n: int, threshold: int) -> list[tuple[int, int, int]]:
+    """(name, parts, most parts that differ) of each kind of pair that a set of size n can be in: with a set of its class, with
+    one across the upper border of its class, with one across the lower border. Sets across a border B have fewer than
+    B * (1 + 100 / threshold) elements together, far fewer than two sets of the upper class may have."""
+    c, low = class_of(n, threshold), classes(threshold)
+    out = [(2 * c, *parts_of(2 * (low[c + 1] - 1), threshold))]
+    for border, crossed in ((c + 1, largest_partner(n, threshold) >= low[c + 1]), (c, -(-threshold * n // 100) < low[c])):
+        if crossed:
+            least = low[border] - 1
+            out.append((2 * border + 1, *parts_of(least + largest_partner(least, threshold), threshold)))
+    return out
+
+
 def light_pairs(n: int, upto: int, threshold: int) -> list[tuple[int, int]]:
     """Pairs of sizes (small, large) with n as one of them, both at most `upto`, that may link without being equal."""
     small = range(-(-threshold * n // 100), n)
@@ -123,7 +135,7 @@ def boundary(threshold: int, most: int = 64) -> int:
     """Largest size up to which enumerating subsets costs less than parts and their verification."""
     for n in range(1, most):
         light = sum(comb(n, overlap(a, b, threshold)) for a, b in light_pairs(n, largest_partner(n, threshold), threshold))
-        heavy = sum(parts_of(c, threshold)[0] for c in {class_of(n, threshold), class_of(largest_partner(n, threshold), threshold)}) + VERIFY
+        heavy = sum(m for _, m, _ in families(n, threshold)) + VERIFY
         if light > heavy:
             return n - 1
     return most
@@ -141,21 +153,27 @@ def subset_keys(h: np.ndarray, upto: int, threshold: int) -> tuple[list[int], li
 
 
 def part_keys(h: np.ndarray, upto: int, threshold: int) -> np.ndarray:
-    """Keys of the parts of a set that may have a partner above `upto`."""
+    """Keys of the parts of a set that may have a partner above `upto`: its elements in each part that has any.
+
+    Linked sets agree on at least `parts - differ` parts. A set with fewer empty parts than that shares a key with each of its links.
+    One with more goes on with another cut of the hash space, as often as it takes: of two linked sets, the one that ends first shares a
+    key of its last cut with the other. So no key says only that a part is empty.
+    """
     n = len(h)
     out = []
-    if largest_partner(n, threshold) > upto:
-        for c in sorted({class_of(n, threshold), class_of(largest_partner(n, threshold), threshold)}):
-            m, k = parts_of(c, threshold)
-            part = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ranges of the hash, so each part is a run
-            starts = np.flatnonzero(np.diff(part, prepend=np.uint64(m)))
-            with np.errstate(over="ignore"):
-                sums = np.add.reduceat(_mix(h ^ SALT[0]), starts)
-                name = np.uint64(c) << np.uint64(40)
-                out.append(_mix(sums ^ _mix((part[starts] | name) + SALT[1])))
-                if m - len(starts) > m - k - 1:  # so many empty parts that agreement may be on empty ones alone
-                    empty = np.setdiff1d(np.arange(m, dtype=np.uint64), part[starts])
-                    out.append(_mix(_mix((empty | name) + SALT[2])))
+    if n and largest_partner(n, threshold) > upto:
+        for name, m, k in families(n, threshold):
+            for turn in range(64):
+                dealt = np.sort(_mix(h + np.uint64(turn) * SALT[3])) if turn else h
+                part = ((dealt >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # ranges of the hash, so each part is a run
+                starts = np.flatnonzero(np.diff(part, prepend=np.uint64(m)))
+                with np.errstate(over="ignore"):
+                    sums = np.add.reduceat(_mix(dealt ^ SALT[0]), starts)
+                    out.append(_mix(sums ^ _mix((part[starts] | np.uint64(name) << np.uint64(40) | np.uint64(turn) << np.uint64(56)) + SALT[1])))
+                if m - len(starts) < m - k:
+                    break
+            else:
+                raise ArithmeticError(f"a set of {n} elements leaves {k} of {m} parts empty in every cut")
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 

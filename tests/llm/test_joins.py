@@ -165,6 +165,38 @@ def test_jaccard_groups(spark, size, threshold, monkeypatch):
     assert jaccard.jaccard_groups(df.limit(0)).count() == 0
 
 
+def disturbed(rng, n, most):
+    """A random set of n hashes and one that lacks some and has others."""
+    a = rng.integers(0, 2**63, n).astype(np.uint64)
+    gone, new = int(rng.integers(0, most + 1)), int(rng.integers(0, most + 1))
+    return np.unique(a), np.unique(np.concatenate([a[gone:], rng.integers(0, 2**63, new).astype(np.uint64)]))
+
+
+@pytest.mark.parametrize("sizes", [(113, 124), (169, 185), (380, 417), (853, 940), (2878, 3160), (3500, 3700)])
+def test_parts_cover_linked_pairs_at_class_borders(sizes):
+    rng = np.random.default_rng(sizes[0])
+    for threshold in (80, 85):
+        upto = jaccard.boundary(threshold)
+        linked = 0
+        for _ in range(60):
+            n = int(rng.integers(sizes[0], sizes[1] + 1))
+            a, b = disturbed(rng, n, n // 8)
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= threshold * (len(a) + len(b) - both):
+                linked += 1
+                x, y = (set(jaccard.part_keys(s, upto, threshold).tolist()) for s in (a, b))
+                assert x & y
+        assert linked > 10
+
+
+def test_parts_of_unrelated_sets_share_no_key():
+    # A key says what a part holds: sets without a common element have none in common, whatever parts they leave empty.
+    rng = np.random.default_rng(0)
+    for n in (10, 60, 113, 380, 853, 2878):
+        seen = Counter(k for _ in range(40) for k in set(jaccard.part_keys(np.unique(rng.integers(0, 2**63, n).astype(np.uint64)), 8, 80).tolist()))
+        assert max(seen.values()) == 1
+
+
 def test_heavy_and_light_parts_cover_every_linked_pair():
     rng = np.random.default_rng(3)
     for threshold in (80, 85):
