@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from gridfill.operators import mesh, regions, simple, solvers, summaries, variogram  # noqa: E402
+from gridfill.operators import mesh, natural, regions, simple, solvers, summaries, variogram  # noqa: E402
 from gridfill.operators.aggregate import box_values  # noqa: E402
 from gridfill.operators.cubic import minimum_curvature  # noqa: E402
 from gridfill.operators.grid import Grid, pyramid_map  # noqa: E402
@@ -93,7 +93,7 @@ def main() -> None:
             triangulate()
         located = materialize(mesh.boxes_in_triangles(tri["t"], grid).join(targets.select(*KEYS, "box_index"), [*KEYS, "box_index"], "left_semi"))
         timed("linear", lambda: value(mesh.linear_triangulation(mesh.boxes_in_triangles(tri["t"], grid))))
-        timed("natural_neighbour", lambda: value(mesh.natural_neighbour(located, tri["t"], grid)))
+        timed("natural_neighbour", lambda: value(natural.natural_neighbour(located, tri["t"], grid)))
         timed("minimum_curvature", lambda: value(minimum_curvature(tri["t"], grid)))
     timed("hull", lambda: regions.convex_hulls(base.customer_samples(spark, sf), ["region"]))
     timed("label_regions", lambda: regions.label_regions(base.order_samples(spark, sf), base.polygons(spark, sf), "lat", "lon"))

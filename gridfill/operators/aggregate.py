@@ -2,66 +2,89 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridfill.operators.grid import Grid
+from gridfill.session import materialize
 
 KEYS = ["datasetName", "name"]
-HOT_GROUP = 200_000     # rows of one group above which quantiles are bracketed first
-SKETCH_ACCURACY = 10_000
+PARTITION = 1 << 20     # (group, value) counts of one range partition
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value: str = "value") -> DataFrame:
+    """Exact, linearly interpolated quantiles per group; one way for groups of any size.
 
-def _interpolated(lo: Column, hi: Column, rank: Column) -> Column:
-    return lo + (hi - lo) * (rank - F.floor(rank))
-
-
-def exact_quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value: str = "value",
-                    hot: int = HOT_GROUP) -> DataFrame:
-    """Exact, linearly interpolated quantiles per group.
-
-    Small groups use the built-in percentile. A group with more than `hot` rows would put all of its
-    values into one task, so a mergeable sketch first gives a bracket that must hold the wanted
-    ranks; then rows below the bracket are only counted and just the few inside are ordered.
+    Equal values are counted first, map-side, which reads the input once. The counts are sorted into range partitions by (group, value), so a large
+    group spreads over as many partitions as it fills. A partition answers for the groups that lie inside it. Of the
+    groups that reach over its borders it hands on running counts; how many values stand before each
+    partition then tells where their ranks are. NaN counts as larger than any number.
     """
     keys = list(keys)
-    rows = df.where(F.col(value).isNotNull())
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    big = sizes.where(F.col("_n") > hot).drop("_n")
-    cold = rows.join(big, keys, "left_anti").groupBy(*keys).agg(
-        *[F.percentile(value, F.lit(p)).alias(out) for out, p in probs.items()])
-
-    margin = 2.0 / SKETCH_ACCURACY
-    hot_rows = rows.join(big, keys, "left_semi")
-    brackets = hot_rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min(value).alias("_min"), F.max(value).alias("_max"),
-        *[F.percentile_approx(value, F.lit(max(p - margin, 0.0)), SKETCH_ACCURACY).alias(f"_lo_{o}") for o, p in probs.items()],
-        *[F.percentile_approx(value, F.lit(min(p + margin, 1.0)), SKETCH_ACCURACY).alias(f"_hi_{o}") for o, p in probs.items()])
-    for out, p in probs.items():
-        if p - margin <= 0:
-            brackets = brackets.withColumn(f"_lo_{out}", F.col("_min"))
-        if p + margin >= 1:
-            brackets = brackets.withColumn(f"_hi_{out}", F.col("_max"))
-    parts = F.explode(F.array(*[
-        F.struct(F.lit(o).alias("_out"), F.col(f"_lo_{o}").alias("_lo"), F.col(f"_hi_{o}").alias("_hi"),
-                 ((F.col("_n") - 1) * F.lit(p)).alias("_rank")) for o, p in probs.items()]))
-    wanted = brackets.select(*keys, parts.alias("_w")).select(*keys, "_w.*")
-    marked = hot_rows.select(*keys, F.col(value).alias("_v")).join(wanted, keys).where(F.col("_v") <= F.col("_hi"))
-    # Everything below the bracket collapses to one counted row per task before the shuffle.
-    distinct = (marked.withColumn("_v", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")))
-                .groupBy(*keys, "_out", "_rank", "_v").agg(F.count("*").alias("_c")))
-    upto = Window.partitionBy(*keys, "_out").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    ranked = distinct.withColumn("_cum", F.sum("_c").over(upto)).where(F.col("_v").isNotNull())
-    picked = ranked.groupBy(*keys, "_out", "_rank").agg(
-        F.min(F.when(F.col("_cum") > F.floor("_rank"), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_cum") > F.ceil("_rank"), F.col("_v"))).alias("_b"))
-    values = picked.withColumn("_q", _interpolated(F.col("_a"), F.col("_b"), F.col("_rank")))
-    warm = values.groupBy(*keys).agg(*[F.max(F.when(F.col("_out") == o, F.col("_q"))).alias(o) for o in probs])
-    return cold.unionByName(warm)
+    spark = df.sparkSession
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    counted = materialize(rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_g", F.to_json(F.struct(*keys)) if keys else F.lit("")))
+    names, wanted = list(probs), list(probs.values())
+
+    def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        group, n = table.column("_g"), table.column("_n").to_numpy()
+        value, upto = table.column("_v").to_numpy(), np.cumsum(n)
+        starts = np.flatnonzero(np.concatenate([[True], pc.not_equal(group.slice(1), group.slice(0, len(group) - 1)).to_numpy(zero_copy_only=False)]))
+        before = upto[starts] - n[starts]
+        total = np.append(before[1:], upto[-1]) - before
+        inner = slice(1, max(1, len(starts) - 1))
+        first, base, size = starts[inner], before[inner], total[inner]
+        border = np.zeros(len(n), bool)
+        border[: starts[1] if len(starts) > 1 else len(n)] = True
+        border[starts[-1]:] = True
+        at = np.concatenate([first, np.flatnonzero(border)])
+        none, k = np.full(border.sum(), np.nan), len(first)
+        out = {c: table.column(c).take(at) for c in keys}
+        for name, p in zip(names, wanted):
+            rank = (size - 1) * p
+            low, high = (value[np.searchsorted(upto, base + f(rank).astype(np.int64), "right")] if k else np.empty(0) for f in (np.floor, np.ceil))
+            same = low == high  # infinities must not be subtracted
+            with np.errstate(invalid="ignore"):
+                part = np.where(same, low, low + (high - low) * (rank - np.floor(rank)))
+            out[name] = pa.array(np.concatenate([part, none]))
+        out["_v"] = pa.array(np.concatenate([np.full(k, np.nan), value[border]]))
+        out["_n"] = pa.array(np.concatenate([np.zeros(k, np.int64), n[border]]))
+        out["_upto"] = pa.array(np.concatenate([np.zeros(k, np.int64), (upto - np.repeat(before, np.diff(np.append(starts, len(n)))))[border]]))
+        out["_g"] = group.take(at)
+        out["_part"] = pa.array(np.full(len(at), TaskContext.get().partitionId(), np.int32))
+        yield from pa.table({c: out[c] for c in (*keys, *names, "_v", "_n", "_upto", "_g", "_part")}).to_batches()
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kinds}{', ' if keys else ''}{', '.join(f'`{o}` double' for o in names)}, _v double, _n long, _upto long, _g string, _part int"
+    # A partition's groups are answered at once, so a partition must be small: its number follows the number of counts.
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + counted.count() // PARTITION)
+    found = materialize(counted.repartitionByRange(parts, "_g", "_v").sortWithinPartitions("_g", "_v").mapInArrow(select, schema))
+    border = found.where("_n > 0")
+    pieces = border.groupBy("_g", "_part").agg(F.sum("_n").alias("_there"))
+    order = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumns({"_before": F.coalesce(F.sum("_there").over(order), F.lit(0)), "_all": F.sum("_there").over(Window.partitionBy("_g"))})
+    ranked = border.join(pieces, ["_g", "_part"]).withColumn("_to", F.col("_before") + F.col("_upto"))
+    marks, values = [], []
+    for o, p in probs.items():
+        rank = (F.col("_all") - 1) * F.lit(float(p))
+        for f, end in ((F.floor, "lo"), (F.ceil, "hi")):
+            here = (F.col("_to") - F.col("_n") <= f(rank)) & (f(rank) < F.col("_to"))
+            marks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{end}_{o}"))
+        whole = (F.col("_size") - 1) * F.lit(float(p))
+        low, high = F.col(f"_lo_{o}"), F.col(f"_hi_{o}")
+        values.append(F.when(low == high, low).otherwise(low + (high - low) * (whole - F.floor(whole))).alias(o))
+    over = ranked.groupBy("_g", *keys).agg(F.max("_all").alias("_size"), *marks).select(*keys, *values)
+    return found.where("_n = 0").select(*keys, *names).unionByName(over)
 
 
 def box_values(long: DataFrame, grid: Grid, aggr_func: str = "mean") -> DataFrame:

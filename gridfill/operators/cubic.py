@@ -2,6 +2,9 @@
 
 The slopes at the samples minimise the curvature of the triangle sides (Nielson 1983, Renka & Cline
 1984); every triangle is split at its centroid into three cubic Bezier pieces (Alfeld 1984, Farin 1986).
+Slopes are swept inside mesh tiles: what a sample feels of others shrinks at least by half a step, so a
+tile with enough halo needs nothing from outside. Each tile sweeps twice, from two different guesses for the samples at its
+rim; triangles whose slopes the guesses change go to a tile twice as wide.
 """
 
 from __future__ import annotations
@@ -14,62 +17,74 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridfill.operators.grid import Grid
-from gridfill.operators.mesh import boxes_in_triangles, triangle_edges
+from gridfill.operators.mesh import locate, target_position
+from gridfill.operators.tiles import UNKNOWN, Mesh, by_tiles
 from gridfill.session import materialize
 
 KEYS = ["datasetName", "name"]
 RHO = 0.5               # one Jacobi sweep at least halves the error, on any mesh
-CUT_EVERY = 6           # sweeps between two materialisations
+FOUND = [f"{c}{i}" for i in (1, 2, 3) for c in ("gx", "gy", "mid_u", "mid_v")]
 
 
-def _sides(triangles: DataFrame, ratio: float) -> DataFrame:
-    """Directed mesh sides (i -> j), once each, with their vector and value difference."""
-    pairs = F.explode(F.array(*[
-        F.named_struct(*[x for k, c in (("i", f"point{a}"), ("j", f"point{b}")) for x in (F.lit(k), F.col(c))],
-                       F.lit("ex"), F.col(f"u{b}") - F.col(f"u{a}"), F.lit("ey"), (F.col(f"v{b}") - F.col(f"v{a}")) * ratio,
-                       F.lit("df"), F.col(f"value{b}") - F.col(f"value{a}"))
-        for a, b in ((1, 2), (2, 1), (2, 3), (3, 2), (3, 1), (1, 3))]))
-    return triangles.select(*KEYS, pairs.alias("_p")).select(*KEYS, "_p.*").dropDuplicates([*KEYS, "i", "j"])
+def tile_slopes(mesh: Mesh, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slopes of the tile's corners, how much the guesses at its rim move each).
 
-
-def vertex_slopes(triangles: DataFrame, grid: Grid, tolerance: float = 1e-6) -> DataFrame:
-    """Slopes (gx, gy) per sample: (keys, index, gx, gy), x = rows, y = columns in units of the row step.
-
-    Chebyshev-accelerated Jacobi sweeps. The sweep's contraction is known, so the number of sweeps
-    follows from the tolerance and no sweep needs an action. Each is one join and one aggregation on the samples.
+    Chebyshev-accelerated Jacobi sweeps. Corners without all their triangles keep their guess: once the slope their own sides
+    give, once zero.
     """
-    sides = _sides(triangles, grid.lon_gap / grid.lat_gap)
-    cube = F.pow(F.col("ex") * F.col("ex") + F.col("ey") * F.col("ey"), 1.5)
-    own = sides.groupBy(*KEYS, "i").agg(
-        F.sum(4 * F.col("ex") * F.col("ex") / cube).alias("a"), F.sum(4 * F.col("ex") * F.col("ey") / cube).alias("b"),
-        F.sum(4 * F.col("ey") * F.col("ey") / cube).alias("d"),
-        F.sum(6 * F.col("ex") * F.col("df") / cube).alias("rx"), F.sum(6 * F.col("ey") * F.col("df") / cube).alias("ry"))
-    det = F.col("a") * F.col("d") - F.col("b") * F.col("b")
-    inverse = own.withColumns({"ia": F.col("d") / det, "ib": -F.col("b") / det, "id": F.col("a") / det}).select(
-        *KEYS, "i", "ia", "ib", "id", (F.col("d") * F.col("rx") - F.col("b") * F.col("ry")).alias("_x"),
-        (F.col("a") * F.col("ry") - F.col("b") * F.col("rx")).alias("_y"), det.alias("_det"))
-    inverse = inverse.withColumns({"bx": F.col("_x") / F.col("_det"), "by": F.col("_y") / F.col("_det")}).drop("_x", "_y", "_det")
-    inverse = materialize(inverse)
-    push = lambda p, q: F.col(p) * F.col("ex") + F.col(q) * F.col("ey")
-    # Effect of the slope at j on i: -(A_i^-1 (2 e e^T / L^3)) g_j, kept as two vectors.
-    links = materialize(sides.join(inverse, [*KEYS, "i"]).select(
-        *KEYS, "i", "j", (-2 * push("ia", "ib") / cube).alias("lx"), (-2 * push("ib", "id") / cube).alias("ly"), "ex", "ey"))
-    state = inverse.select(*KEYS, "i", "bx", "by", F.col("bx").alias("gx"), F.col("by").alias("gy"),
-                           F.lit(0.0).alias("px"), F.lit(0.0).alias("py"))
-    rate = RHO / (1 + math.sqrt(1 - RHO * RHO))
-    omega = 2.0
-    for sweep in range(1, math.ceil(math.log(tolerance) / math.log(rate)) + 1):
-        omega = 1 / (1 - RHO * RHO / 2) if sweep == 1 else 1 / (1 - RHO * RHO * omega / 4)
-        moved = links.join(state.selectExpr(*KEYS, "i AS j", "gx", "gy"), [*KEYS, "j"]).selectExpr(
-            *KEYS, "i", "lx * (ex * gx + ey * gy) AS sx", "ly * (ex * gx + ey * gy) AS sy",
-            *[f"0D AS {c}" for c in ("bx", "by", "gx", "gy", "px", "py")])
-        parts = moved.unionByName(state.selectExpr(*KEYS, "i", "bx AS sx", "by AS sy", "bx", "by", "gx", "gy", "px", "py"))
-        summed = parts.groupBy(*KEYS, "i").agg(*[F.sum(c).alias(c) for c in ("sx", "sy", "bx", "by", "gx", "gy", "px", "py")])
-        state = summed.selectExpr(*KEYS, "i", "bx", "by", f"{omega!r}D * (sx - px) + px AS gx", f"{omega!r}D * (sy - py) + py AS gy",
-                                  "gx AS px", "gy AS py")
-        if sweep % CUT_EVERY == 0:
-            state = materialize(state)
-    return state.select(*KEYS, F.col("i").alias("index"), "gx", "gy")
+    n = len(mesh.ids)
+    both = np.concatenate([mesh.sides, mesh.sides[:, ::-1]]).astype(np.int64)
+    i, j = np.divmod(np.unique(both[:, 0] * n + both[:, 1]), n)
+    e, df = mesh.xy[j] - mesh.xy[i], mesh.value[j] - mesh.value[i]
+    cube = (e * e).sum(1) ** 1.5
+    total = lambda w: np.bincount(i, w, n)
+    a, b, d = (total(4 * p * q / cube) for p, q in ((e[:, 0], e[:, 0]), (e[:, 0], e[:, 1]), (e[:, 1], e[:, 1])))
+    right = np.stack([total(6 * e[:, k] * df / cube) for k in (0, 1)], axis=1)
+    det = a * d - b * b
+    sure = det > 1e-12 * (a + d) ** 2  # at the rim, sides may all point one way
+    det = np.where(sure, det, 1)
+    inverse = np.where(sure[:, None, None], np.stack([np.stack([d, -b], 1), np.stack([-b, a], 1)], 1) / det[:, None, None], 0)
+    start = np.einsum("nij,nj->ni", inverse, right)
+    free = mesh.whole
+
+    def swept(guess: np.ndarray) -> np.ndarray:
+        now, before, omega = np.where(free[:, None], start, guess), np.zeros((n, 2)), 2.0
+        before[~free] = guess[~free]
+        for sweep in range(1, sweeps + 1):
+            omega = 1 / (1 - RHO * RHO / 2) if sweep == 1 else 1 / (1 - RHO * RHO * omega / 4)
+            push = 2 * (e * now[j]).sum(1) / cube
+            felt = np.stack([total(e[:, k] * push) for k in (0, 1)], axis=1)
+            step = omega * (start - np.einsum("nij,nj->ni", inverse, felt) - before) + before
+            now, before = np.where(free[:, None], step, guess), now
+        return now
+
+    slopes = swept(start)
+    return slopes, np.abs(slopes - swept(np.zeros((n, 2)))).max(1) if not free.all() else np.zeros(n)
+
+
+def curved_triangles(triangles: DataFrame, grid: Grid, tolerance: float = 1e-6, **tiling) -> DataFrame:
+    """Triangles with the slopes gx, gy at their corners (in units of the row step) and the centroid mid_u, mid_v across the side
+    opposite each corner (NULL on the hull). The number of sweeps follows from the tolerance."""
+    ratio = grid.lon_gap / grid.lat_gap
+    sweeps = math.ceil(math.log(tolerance * 1e-2) / math.log(RHO / (1 + math.sqrt(1 - RHO * RHO))))
+
+    def work(key: tuple, rows: pa.Table) -> pa.Table:
+        mesh = Mesh(rows, *key, ratio)
+        slopes, moved = tile_slopes(mesh, sweeps)
+        own = np.flatnonzero(mesh.own)
+        corner, across = mesh.corner[own], mesh.across[own]
+        most = np.abs(slopes[mesh.whole]).max(initial=0)
+        ok = (across != UNKNOWN).all(1) & mesh.whole[corner].all(1) & (moved[corner].max(1, initial=0) <= tolerance * most)
+        mids = [mesh.u[mesh.corner].mean(1), mesh.v[mesh.corner].mean(1)]
+        out = {"tri_index": pa.array(mesh.index[own]), "ok": pa.array(ok)}
+        for k in range(3):
+            to = across[:, k]
+            out |= {f"{c}{k + 1}": pa.array(slopes[corner[:, k], n]) for n, c in enumerate(("gx", "gy"))}
+            out |= {f"{c}{k + 1}": pa.array(mids[n][to], mask=to < 0) for n, c in enumerate(("mid_u", "mid_v"))}
+        return pa.table(out).select(["tri_index", "ok", *FOUND])
+
+    slopes = by_tiles(triangles, work, f"tri_index long, ok boolean, {', '.join(c + ' double' for c in FOUND)}", **tiling)
+    return triangles.join(slopes, [*KEYS, "tri_index"])
 
 
 def cubic_patch(xy: np.ndarray, f: np.ndarray, g: np.ndarray, across: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -115,23 +130,16 @@ def cubic_patch(xy: np.ndarray, f: np.ndarray, g: np.ndarray, across: np.ndarray
     return out
 
 
-def minimum_curvature(triangles: DataFrame, grid: Grid, tolerance: float = 1e-6) -> DataFrame:
-    """Value of every box inside the hull: (keys, box_index, value)."""
+def minimum_curvature(triangles: DataFrame, grid: Grid, tolerance: float = 1e-6, targets: DataFrame | None = None, **tiling) -> DataFrame:
+    """(keys, box_index, value) of the targets inside the hull: boxes, free positions (pu, pv), or every box of the grid."""
     ratio = grid.lon_gap / grid.lat_gap
-    slopes = materialize(vertex_slopes(triangles, grid, tolerance))
-    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("pos"), F.col(f"point{i}").alias("index")) for i in (1, 2, 3)]))
-    at_corner = (triangles.select(*KEYS, "tri_index", corner.alias("_c")).select(*KEYS, "tri_index", "_c.*")
-                 .join(slopes, [*KEYS, "index"]).groupBy(*KEYS, "tri_index")
-                 .agg(*[F.max(F.when(F.col("pos") == i, F.col(c))).alias(f"{c}{i}") for i in (1, 2, 3) for c in ("gx", "gy")]))
-    mids = triangle_edges(triangles, grid).groupBy(*KEYS, "tri_index").agg(
-        *[F.max(F.when(F.col("opposite") == i, F.col(c))).alias(f"{c}{i}") for i in (1, 2, 3) for c in ("mid_u", "mid_v")])
-    full = triangles.join(at_corner, [*KEYS, "tri_index"]).join(mids, [*KEYS, "tri_index"])
-    located = boxes_in_triangles(full, grid)
+    full = materialize(curved_triangles(triangles, grid, tolerance, **tiling))
+    located = target_position(locate(full, grid, targets))
     nan = F.lit(float("nan"))
     each = lambda names: [F.coalesce(F.col(c) * (ratio if c.startswith(("v", "mid_v")) and not c.startswith("value") else 1.0), nan) for c in names]
     packed = F.array(*each([f"{a}{i}" for i in (1, 2, 3) for a in ("u", "v")]), *each([f"value{i}" for i in (1, 2, 3)]),
                      *each([f"{a}{i}" for i in (1, 2, 3) for a in ("gx", "gy")]), *each([f"{a}{i}" for i in (1, 2, 3) for a in ("mid_u", "mid_v")]),
-                     F.col("box_x") + 0.5, (F.col("box_y") + 0.5) * ratio)
+                     F.col("pu"), F.col("pv") * ratio)
 
     @F.arrow_udf("double")
     def patch(rows: pa.Array) -> pa.Array:

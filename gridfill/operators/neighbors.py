@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 
 from gridfill.functions.geo import alpha, alpha_value, euclidean
 from gridfill.operators.grid import Grid
+from gridfill.operators.tiles import rolled_up
 from gridfill.session import materialize
 
 KEYS = ["datasetName", "name"]
@@ -106,9 +107,9 @@ def _bounds_between(grid: Grid, metric: str) -> tuple[Column, Column]:
 
 
 def cell_counts(samples: DataFrame, base: int, top: int) -> DataFrame:
-    """Samples per cell at every level, in one shuffle of map-side combined counts."""
-    cells = _at_levels(samples.select(*KEYS, "u", "v"), F.sequence(F.lit(base), F.lit(top)), "cx", "cy")
-    return cells.groupBy(*KEYS, "level", "cx", "cy").agg(F.count("*").alias("n"))
+    """Samples per cell at every level: counted once in the finest cells, then rolled up from those counts."""
+    finest = samples.groupBy(*KEYS, _cell(F.col("u"), base).alias("cx"), _cell(F.col("v"), base).alias("cy")).agg(F.count("*").alias("n"))
+    return rolled_up(finest, base, top)
 
 
 def _home_levels(targets: DataFrame, counts: DataFrame, need: int, base: int, top: int, exact: bool) -> DataFrame:
@@ -275,7 +276,8 @@ def knn(targets: DataFrame, samples: DataFrame, grid: Grid, k: int, *, metric: s
     `start_level` upwards, that holds `need` samples. Targets with no such ring get an empty array.
     """
     target_cols = [c for c in targets.columns if c not in ("u", "v")]
-    need = need if need is not None else k
+    # The reach of an exact search stands on a ring that holds k samples; fewer would leave out cells with nearer ones.
+    need = k if exact or need is None else need
     cands = _with_candidates(targets, samples, grid, k, metric=metric, exact=exact, need=need,
                              start_level=start_level, max_pairs=max_pairs)
 

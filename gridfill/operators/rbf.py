@@ -22,7 +22,7 @@ def _wendland(t):
 
 
 def tiled_rbf(targets: DataFrame, samples: DataFrame, grid: Grid, function: str = "multiquadric", tile: int = 8) -> DataFrame:
-    """RBF value of each target box: (target columns, value).
+    """RBF value of each target box, or free position (pu, pv in box units): (target columns, value).
 
     Tiles are `tile` boxes wide. A tile fits the box means of its 3x3 neighbourhood, at most (3 * tile)^2
     of them, so no group outgrows a task, and predicts boxes up to one tile width from its centre on
@@ -34,12 +34,16 @@ def tiled_rbf(targets: DataFrame, samples: DataFrame, grid: Grid, function: str
     if function not in RBF_FUNCTIONS:
         raise ValueError(f"unknown radial function {function!r}")
     known = samples.where(F.col("value").isNotNull())
-    tx, ty = F.floor(F.col("box_x") / tile), F.floor(F.col("box_y") / tile)
+    # Free targets have their own position; boxes are counted from 0, as the box means are.
+    free = {"pu", "pv"} <= set(targets.columns)
+    at_x, at_y = (F.col("pu") - 0.5, F.col("pv") - 0.5) if free else (F.col("box_x"), F.col("box_y"))
+    placed = targets.withColumns({"_x": at_x, "_y": at_y})
     spread_s = known.withColumn("_o", cell_offsets(1, 1)).select(
-        *KEYS, (tx + F.col("_o.dx")).alias("tx"), (ty + F.col("_o.dy")).alias("ty"), "box_x", "box_y", "value")
+        *KEYS, (F.floor(F.col("box_x") / tile) + F.col("_o.dx")).alias("tx"), (F.floor(F.col("box_y") / tile) + F.col("_o.dy")).alias("ty"), "box_x", "box_y", "value")
     off = lambda c, t: F.abs(F.col(c) + 0.5 - (F.col(t) + 0.5) * tile) / tile
-    spread_t = (targets.withColumn("_o", cell_offsets(1, 1)).select(
-        *KEYS, (tx + F.col("_o.dx")).alias("tx"), (ty + F.col("_o.dy")).alias("ty"), "box_x", "box_y", "box_index")
+    spread_t = (placed.withColumn("_o", cell_offsets(1, 1)).select(
+        *KEYS, (F.floor((F.col("_x") + 0.5) / tile) + F.col("_o.dx")).alias("tx"), (F.floor((F.col("_y") + 0.5) / tile) + F.col("_o.dy")).alias("ty"),
+        F.col("_x").cast("double").alias("box_x"), F.col("_y").cast("double").alias("box_y"), "box_index")
         .withColumn("w", _wendland(off("box_x", "tx")) * _wendland(off("box_y", "ty"))).where(F.col("w") > 0))
     gaps = (grid.lat_gap, grid.lon_gap)
 

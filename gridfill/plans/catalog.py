@@ -12,7 +12,7 @@ from gridfill.functions.text import params_text, position_key, safe_file_name
 from gridfill.functions.geo import alpha, triangle_area
 from gridfill.operators import aggregate as agg
 from gridfill.operators import grid as gr
-from gridfill.operators import mesh, neighbors, prep, regions, simple, solvers, summaries, variogram
+from gridfill.operators import mesh, natural, neighbors, prep, regions, simple, solvers, summaries, variogram
 from gridfill.operators.cubic import minimum_curvature
 from gridfill.operators.rbf import tiled_rbf
 from gridfill.plans import base, fill, oracle, registry
@@ -43,6 +43,15 @@ def rounded(c, places: int = 6):
     return F.round(F.col(c) if isinstance(c, str) else c, places)
 
 
+def digits(c, unit: float = 0.7071):
+    """Compared by steps of an odd unit: short decimals, which rounding noise would push to either side, lie inside its steps."""
+    return F.round((F.col(c) if isinstance(c, str) else c) / F.lit(unit) + F.lit(0.12345), 3)
+
+
+def digits_sql(c: str, unit: float = 0.7071) -> str:
+    return f"round({c}/{unit!r}::DOUBLE+0.12345::DOUBLE, 3)"
+
+
 def scratch(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/gridfill/out-{uuid.uuid4().hex}"
 
@@ -358,6 +367,54 @@ def g11(spark, sf):
     return gr.degree_raster(spark, g, 0.05).select("box_index", rounded("box_lat").alias("box_lat"), rounded("box_lon").alias("box_lon"))
 
 
+SMESH = f"{oracle.MESH}, "
+
+
+def on_raster(spark, sf, raster, method: str, params: dict | None = None):
+    """A raster over the suppliers' area, filled from their box means: every point, with a rounded value or NULL."""
+    filled = fill.fill_points(base.supplier_means(spark, sf), SGRID, method, raster, params)
+    return filled.select("box_index", digits("value").alias("value"))
+
+
+def raster_sql(ctes: str, found: str) -> str:
+    return with_(ctes, f"SELECT bc.box_index, {digits_sql('f.value')} AS value FROM bc LEFT JOIN ({found}) f ON f.box_index=bc.box_index")
+
+
+@query("g9_raster_linear", raster_sql(f"{SMESH}{oracle.fixed_count(61, 71)}, {oracle.IN_TRIANGLES}", "SELECT box_index, w1*v1+w2*v2+w3*v3 AS value FROM loc"))
+def g9_linear(spark, sf):
+    return on_raster(spark, sf, gr.fixed_count_raster(spark, SGRID, 61, 71), "triangle")
+
+
+@query("g9_raster_idw", raster_sql(f"{oracle.prelude(oracle.SUPPLIERS)}, {oracle.fixed_count(61, 71)}, {oracle.near_points(8)}", "SELECT box_index, sum(value/dist)/sum(1/dist) AS value FROM nn GROUP BY box_index"))
+def g9_idw(spark, sf):
+    return on_raster(spark, sf, gr.fixed_count_raster(spark, SGRID, 61, 71), "idw", {"n_closest_points": 8})
+
+
+@query("g10_raster_natural", raster_sql(f"{SMESH}{oracle.EDGE_RASTER}, {oracle.IN_TRIANGLES}, {oracle.NATURAL}", "SELECT box_index, value FROM sib"))
+def g10_natural(spark, sf):
+    return on_raster(spark, sf, gr.edge_raster(spark, SGRID), "natural_neighbor")
+
+
+@query("g10_raster_linear", raster_sql(f"{SMESH}{oracle.EDGE_RASTER}, {oracle.IN_TRIANGLES}", "SELECT box_index, w1*v1+w2*v2+w3*v3 AS value FROM loc"))
+def g10_linear(spark, sf):
+    return on_raster(spark, sf, gr.edge_raster(spark, SGRID), "triangle")
+
+
+@query("g11_raster_curvature", raster_sql(f"RECURSIVE {SMESH}{oracle.degree_raster(0.08)}, {oracle.IN_TRIANGLES}, {oracle.SLOPES}, {oracle.PATCH}", "SELECT box_index, value FROM cur"))
+def g11_curvature(spark, sf):
+    return on_raster(spark, sf, gr.degree_raster(spark, SGRID, 0.08), "min_curvature", {"tolerance": 1e-10})
+
+
+@query("g11_raster_mean", raster_sql(f"{oracle.prelude(oracle.SUPPLIERS)}, {oracle.degree_raster(0.08)}, {oracle.near_points(5)}", "SELECT box_index, avg(value) AS value FROM nn GROUP BY box_index"))
+def g11_mean(spark, sf):
+    return on_raster(spark, sf, gr.degree_raster(spark, SGRID, 0.08), "moving_average", {"n_closest_points": 5})
+
+
+@query("g11_raster_rbf")
+def g11_rbf(spark, sf):
+    return on_raster(spark, sf, gr.degree_raster(spark, SGRID, 0.08), "rbf", {"tile": 16})
+
+
 @query("g12_parent_box", with_(oracle.prelude(), "SELECT name, index, CAST(floor(bx/4e0) AS BIGINT) AS parent_x, CAST(floor(gy/4e0) AS BIGINT) AS parent_y FROM means"))
 def g12(spark, sf):
     return gr.parent_box(base.order_means(spark, sf), 4).select("name", "index", F.col("parent_x").cast("long").alias("parent_x"), F.col("parent_y").cast("long").alias("parent_y"))
@@ -426,12 +483,8 @@ CONFLICT = """conf AS (SELECT l.box_index, t.p1, t.p2, t.p3 FROM loc l JOIN tri
 
 
 def supplier_conflicts(spark, sf):
-    def build():
-        tri = base.supplier_triangles(spark, sf)
-        edges = mesh.triangle_edges(tri, SGRID)
-        conflicts, _ = mesh.conflict_triangles(base.supplier_located(spark, sf), edges, SGRID)
-        return mesh.conflict_list(conflicts)
-    return base.once(spark, sf, "supplier_conflicts", build)
+    return base.once(spark, sf, "supplier_conflicts", lambda: natural.conflict_triangles(
+        base.supplier_located(spark, sf), base.supplier_triangles(spark, sf), SGRID))
 
 
 @query("j9_map_right_join", with_(f"{oracle.MESH}, {oracle.LOCATED}, {CONFLICT}", "SELECT b.box_index, CAST(count(c.p1) AS BIGINT) AS n_triangles FROM boxes b LEFT JOIN conf c ON c.box_index=b.box_index GROUP BY b.box_index"))
@@ -741,7 +794,13 @@ def i7_edge(spark, sf):
 
 @query("i8_natural_neighbour")
 def i8(spark, sf):
-    return value_cols(mesh.natural_neighbour(base.order_located(spark, sf), base.order_triangles(spark, sf), GRID))
+    return value_cols(natural.natural_neighbour(base.order_located(spark, sf), base.order_triangles(spark, sf), GRID))
+
+
+@query("i8_natural_suppliers", with_(f"{oracle.MESH}, {oracle.LOCATED}, {oracle.NATURAL}", f"SELECT l.box_index, {digits_sql('sib.value')} AS value FROM loc l LEFT JOIN sib ON sib.box_index=l.box_index"))
+def i8_suppliers(spark, sf):
+    found = natural.natural_neighbour(base.supplier_located(spark, sf), base.supplier_triangles(spark, sf), SGRID)
+    return found.select("box_index", digits("value").alias("value"))
 
 
 @query("i9_moving_average", with_(oracle.knn(5), "SELECT name, box_index, round(avg(value),6) AS value FROM nn GROUP BY name, box_index"))
@@ -751,7 +810,12 @@ def i9(spark, sf):
 
 @query("i10_minimum_curvature")
 def i10(spark, sf):
-    return value_cols(minimum_curvature(base.order_triangles(spark, sf), GRID))
+    return value_cols(minimum_curvature(base.order_triangles(spark, sf), GRID, targets=base.order_targets(spark, sf)))
+
+
+@query("i10_curvature_suppliers", with_(f"RECURSIVE {oracle.MESH}, {oracle.LOCATED}, {oracle.SLOPES}, {oracle.PATCH}", f"SELECT box_index, {digits_sql('value')} AS value FROM cur"))
+def i10_suppliers(spark, sf):
+    return minimum_curvature(base.supplier_triangles(spark, sf), SGRID, 1e-10).select("box_index", digits("value").alias("value"))
 
 
 # The variance is compared by its logarithm: its rounding noise does not grow with the values.
@@ -885,11 +949,27 @@ def m8(spark, sf):
 @query("m9_run_many", with_(f"{oracle.prelude()}", "SELECT name AS feature_name, 'n_closest_points:8' AS params, true AS is_valid, CAST(0 AS BIGINT) AS n_missing FROM feats UNION ALL SELECT 'balance', 'n_closest_points:8', true, 0"))
 def m9(spark, sf):
     per_dataset = {"demo": (base.order_means(spark, sf), GRID), "suppliers": (base.supplier_means(spark, sf), SGRID)}
-    reg, result = fill.run_many(registry.empty_registry(spark), per_dataset, "nn", {"n_closest_points": 8})
+    reg, result, _ = fill.run_many(registry.empty_registry(spark), per_dataset, "nn", {"n_closest_points": 8})
     left = fill.missing_per_feature(result).select(F.col("name").alias("feature_name"), "n_missing")
     return reg.join(left, "feature_name").select("feature_name", "params", "is_valid", "n_missing")
 
 
+# One feature is fine, one has too few samples, one holds infinite values: each has its own outcome.
+@query("m9_run_failures", with_(oracle.prelude(), """SELECT 'price' AS name, count(*) AS n_samples, true AS is_valid, CAST(NULL AS VARCHAR) AS reason, (SELECT count(*) FROM boxes) AS n_boxes FROM means WHERE name='price'
+  UNION ALL SELECT 'few', count(*), false, 'fewer than 10 samples', 0 FROM (SELECT 1 FROM means WHERE name='price' ORDER BY index LIMIT 6) q
+  UNION ALL SELECT 'broken', count(*), false, 'boxes without a finite value', (SELECT count(*) FROM boxes) FROM means WHERE name='price'"""))
+def m9_failures(spark, sf):
+    price = base.order_means(spark, sf).where("name = 'price'")
+    few = price.orderBy("index").limit(6).withColumn("name", F.lit("few"))
+    broken = price.withColumns({"name": F.lit("broken"), "value": F.when(F.col("index") % 3 == 0, F.lit(float("inf"))).otherwise(F.col("value"))})
+    means = price.unionByName(few).unionByName(broken)
+    reg, result, outcomes = fill.run_many(registry.empty_registry(spark), {"demo": (means, GRID)}, "moving_average", {"n_closest_points": 5}, minimum=10)
+    boxes = result.groupBy("name").agg(F.count("*").alias("n_boxes"))
+    valid = reg.select(F.col("feature_name").alias("name"), "is_valid")
+    return outcomes.select("name", "n_samples", "reason").join(valid, "name").join(boxes, "name", "left").select(
+        "name", "n_samples", "is_valid", "reason", F.coalesce("n_boxes", F.lit(0)).alias("n_boxes"))
+
+
 @query("m10_prepare", with_(f"{OWN_SPEC}, {CLAMPED}", "SELECT l.name, m.bx*m.y_num+m.gy AS index, round(avg(l.value),6) AS value FROM m JOIN lng l ON l.index=m.index GROUP BY ALL"))
 def m10(spark, sf):
     return prepare(base.order_samples(spark, sf), base.FEATURES, "demo", 8.0).means.select("name", "index", rounded("value").alias("value"))

@@ -95,10 +95,11 @@ tri AS (SELECT * FROM tri4 t WHERE NOT EXISTS (SELECT 1 FROM p q
   AND (q.index < t.p1 OR ((t.cx_-t.bx_)*(q.y-t.by_)-(t.cy_-t.by_)*(q.x-t.bx_))*((t.cx_-t.bx_)*(t.ay-t.by_)-(t.cy_-t.by_)*(t.ax-t.bx_)) < 0)))"""
 
 # Boxes in triangles (edges included), the triangle with the smallest corners on a shared edge.
-LOCATED = """bc AS (SELECT b.box_index, b.box_x, b.box_y, b.box_x+0.5e0 AS qx, (b.box_y+0.5e0)*(lon_gap/lat_gap) AS qy FROM boxes b, spec),
-bar AS (SELECT t.*, q.*, ((qx-ax)*wy-(qy-ay)*wx)/det AS w2, (ux*(qy-ay)-uy*(qx-ax))/det AS w3 FROM tri t, bc q),
+BOX_POINTS = "bc AS (SELECT b.box_index, b.box_x, b.box_y, b.box_x+0.5e0 AS qx, (b.box_y+0.5e0)*(lon_gap/lat_gap) AS qy FROM boxes b, spec)"
+IN_TRIANGLES = """bar AS (SELECT t.*, q.*, ((qx-ax)*wy-(qy-ay)*wx)/det AS w2, (ux*(qy-ay)-uy*(qx-ax))/det AS w3 FROM tri t, bc q),
 loc AS (SELECT * FROM (SELECT *, 1-w2-w3 AS w1, row_number() OVER (PARTITION BY box_index ORDER BY p1, p2, p3) AS rn
   FROM bar WHERE w2>=-1e-9 AND w3>=-1e-9 AND 1-w2-w3>=-1e-9) WHERE rn=1)"""
+LOCATED = f"{BOX_POINTS}, {IN_TRIANGLES}"
 
 MESH = f"{prelude(SUPPLIERS)}, {TRIANGLES}"
 
@@ -113,3 +114,87 @@ edge AS (SELECT region, my-hy AS x1, mx AS y1, my AS x2, mx+hx AS y2 FROM pc
 
 # The polygons are convex and run one way round: a point is inside if it is on the same side of all of them.
 CROSSES = "max((x2-x1)*(q.lon-y1) - (y2-y1)*(q.lat-x1)) < 0"
+
+
+def raster(start_lat: str, step_lat: str, n_lat: str, start_lon: str, step_lon: str, n_lon: str) -> str:
+    """CTEs up to bc: (box_index, box_lat, box_lon, qx, qy) of a raster over the test area, as expressions of spec's columns."""
+    return f"""rs AS (SELECT *, CAST({n_lat} AS BIGINT) AS n_lat, CAST({n_lon} AS BIGINT) AS n_lon FROM spec),
+rp AS (SELECT CAST(i*n_lon+j AS BIGINT) AS box_index, {start_lat}+i*({step_lat}) AS box_lat, {start_lon}+j*({step_lon}) AS box_lon, lat_gap, lon_gap
+  FROM rs, unnest(range(n_lat)) AS u(i), unnest(range(n_lon)) AS w(j)),
+bc AS (SELECT box_index, box_lat, box_lon, (box_lat-46e0)/lat_gap AS qx, (box_lon- -60e0)/lon_gap*(lon_gap/lat_gap) AS qy FROM rp)"""
+
+
+def fixed_count(n_lat: int, n_lon: int) -> str:
+    a, o = f"(5e0/{n_lat})", f"(7e0/{n_lon})"
+    return raster(f"46e0+{a}", a, f"ceil((51e0-{a}-(46e0+{a}))/{a})", f"-60e0+{o}", o, f"ceil((-53e0-{o}-(-60e0+{o}))/{o})")
+
+
+EDGE_RASTER = raster("46e0", "lat_gap", "ceil((51e0+lat_gap-46e0)/lat_gap)", "-60e0", "lon_gap", "ceil((-53e0+lon_gap- -60e0)/lon_gap)")
+
+
+def degree_raster(step: float) -> str:
+    n = [f"(ceil({w}e0/{step}e0)+1)" for w in (5, 7)]
+    return raster("46e0", f"5e0/({n[0]}-1)", n[0], "-60e0", f"7e0/({n[1]}-1)", n[1])
+
+
+# Sibson's weights: circumcentres of the conflict triangles and of the target with the rim sides are the corners of what the target
+# takes from each neighbour; areas by the shoelace formula. A target on a sample has no conflict triangle and takes its value.
+NATURAL = """conf AS (SELECT l.box_index, l.qx, l.qy, t.p1, t.p2, t.p3, t.ox, t.oy FROM loc l JOIN tri t ON (l.qx-t.ox)*(l.qx-t.ox)+(l.qy-t.oy)*(l.qy-t.oy) < t.r2*(1-1e-9)),
+cs AS (SELECT box_index, qx, qy, p1 AS a, p2 AS b FROM conf UNION ALL SELECT box_index, qx, qy, p1, p3 FROM conf UNION ALL SELECT box_index, qx, qy, p2, p3 FROM conf),
+rim0 AS (SELECT box_index, any_value(qx) AS qx, any_value(qy) AS qy, a, b FROM cs GROUP BY box_index, a, b HAVING count(*) = 1),
+rim1 AS (SELECT r.*, m.x-qx AS x1, m.y-qy AS y1, n.x-qx AS x2, n.y-qy AS y2 FROM rim0 r JOIN p m ON m.index=r.a JOIN p n ON n.index=r.b),
+rim AS (SELECT *, abs(x1*y2-y1*x2) < 1e-9*sqrt((x1*x1+y1*y1)*(x2*x2+y2*y2)) AS flat, CASE WHEN x1*y2-y1*x2 <> 0 THEN 2*(x1*y2-y1*x2) END AS dd FROM rim1),
+pt AS (SELECT box_index, unnest([p1,p2,p3]) AS s, ox-qx AS x, oy-qy AS y, false AS flat FROM conf
+  UNION ALL SELECT box_index, unnest([a,b]), (y2*(x1*x1+y1*y1)-y1*(x2*x2+y2*y2))/dd, (x1*(x2*x2+y2*y2)-x2*(x1*x1+y1*y1))/dd, flat FROM rim),
+ct AS (SELECT *, x-avg(x) OVER (PARTITION BY box_index, s) AS cx, y-avg(y) OVER (PARTITION BY box_index, s) AS cy FROM pt),
+ring AS (SELECT *, lead(cx) OVER o AS nx, lead(cy) OVER o AS ny, first_value(cx) OVER o AS fx, first_value(cy) OVER o AS fy FROM ct
+  WINDOW o AS (PARTITION BY box_index, s ORDER BY atan2(cy, cx))),
+ar AS (SELECT box_index, s, bool_or(flat) AS flat, abs(sum(cx*coalesce(ny,fy)-coalesce(nx,fx)*cy))/2 AS w FROM ring GROUP BY box_index, s),
+sib AS (SELECT box_index, CASE WHEN NOT bool_or(flat) THEN sum(w*value)/sum(w) END AS value FROM ar JOIN p ON p.index=ar.s GROUP BY box_index
+  UNION ALL SELECT l.box_index, p.value FROM loc l JOIN p ON p.x=l.qx AND p.y=l.qy)"""
+
+# Slopes of least curvature of the sides by plain Jacobi steps (each at least halves the error), then the split cubic of each triangle.
+SLOPES = """sd0 AS (SELECT DISTINCT i, j FROM (SELECT p1 AS i, p2 AS j FROM tri UNION ALL SELECT p2, p1 FROM tri UNION ALL SELECT p1, p3 FROM tri
+  UNION ALL SELECT p3, p1 FROM tri UNION ALL SELECT p2, p3 FROM tri UNION ALL SELECT p3, p2 FROM tri)),
+sd AS (SELECT i, j, b.x-a.x AS ex, b.y-a.y AS ey, b.value-a.value AS df, pow((b.x-a.x)*(b.x-a.x)+(b.y-a.y)*(b.y-a.y), 1.5) AS cube FROM sd0 JOIN p a ON a.index=i JOIN p b ON b.index=j),
+own AS (SELECT i, sum(4*ex*ex/cube) AS a, sum(4*ex*ey/cube) AS b, sum(4*ey*ey/cube) AS d, sum(6*ex*df/cube) AS rx, sum(6*ey*df/cube) AS ry FROM sd GROUP BY i),
+inv AS (SELECT i, d/(a*d-b*b) AS ia, -b/(a*d-b*b) AS ib, a/(a*d-b*b) AS id, (d*rx-b*ry)/(a*d-b*b) AS bx, (a*ry-b*rx)/(a*d-b*b) AS by_ FROM own),
+lk AS (SELECT sd.i, j, ex, ey, bx, by_, 2*(ia*ex+ib*ey)/cube AS lx, 2*(ib*ex+id*ey)/cube AS ly FROM sd JOIN inv ON inv.i=sd.i),
+jac AS (SELECT 0 AS step, i, bx AS gx, by_ AS gy FROM inv
+  UNION ALL SELECT step+1, lk.i, any_value(bx)-sum(lx*(ex*gx+ey*gy)), any_value(by_)-sum(ly*(ex*gx+ey*gy)) FROM jac JOIN lk ON lk.j=jac.i WHERE step < 60 GROUP BY step, lk.i),
+slope AS (SELECT i, gx, gy FROM jac WHERE step=60)"""
+
+
+def _patch() -> str:
+    """CTEs up to cur: the split cubic at each located target, corner by corner."""
+    xs, ys = ("ax", "bx_", "cx_"), ("ay", "by_", "cy_")
+    mids = ["ms AS (" + " UNION ALL ".join(f"SELECT p{k} AS own, p{i} AS a, p{j} AS b, (ax+bx_+cx_)/3 AS mx, (ay+by_+cy_)/3 AS my FROM tri"
+                                           for i, j, k in ((1, 2, 3), (1, 3, 2), (2, 3, 1))) + ")"]
+    joins = " ".join(f"JOIN slope s{k} ON s{k}.i=l.p{k}" for k in (1, 2, 3))
+    joins += " " + " ".join(f"LEFT JOIN ms m{k} ON m{k}.a=l.p{i} AND m{k}.b=l.p{j} AND m{k}.own<>l.p{k}" for i, j, k in ((1, 2, 3), (1, 3, 2), (2, 3, 1)))
+    columns = ", ".join(f"s{k}.gx AS gx{k}, s{k}.gy AS gy{k}, m{k}.mx AS mx{k}, m{k}.my AS my{k}" for k in (1, 2, 3))
+    steps = [f"q0 AS (SELECT l.*, {columns} FROM loc l {joins})"]
+    edge = {(i, j): f"v{i + 1}+(gx{i + 1}*({xs[j]}-{xs[i]})+gy{i + 1}*({ys[j]}-{ys[i]}))/3" for i in range(3) for j in range(3) if i != j}
+    other = [((i + 1) % 3, (i + 2) % 3) for i in range(3)]
+    steps.append("q1 AS (SELECT *, " + ", ".join(f"{e} AS e{i}{j}" for (i, j), e in edge.items()) + ", " + ", ".join(
+        f"((mx{i + 1}-ax)*wy-(my{i + 1}-ay)*wx)/det AS m{i}1, (ux*(my{i + 1}-ay)-uy*(mx{i + 1}-ax))/det AS m{i}2" for i in range(3)) + " FROM q0)")
+    steps.append("q2 AS (SELECT *, " + ", ".join(f"(v{i + 1}+e{i}{j}+e{i}{k})/3 AS n{i}, 1-m{i}1-m{i}2 AS m{i}0" for i, (j, k) in enumerate(other)) + " FROM q1)")
+    steps.append("q3 AS (SELECT *, " + ", ".join(
+        f"(n{j}+n{k}+(coalesce(m{i}{j}-m{i}{i}, 0.5)*(v{j + 1}-2*e{j}{k}+e{k}{j})+coalesce(m{i}{k}-m{i}{i}, 0.5)*(v{k + 1}-2*e{k}{j}+e{j}{k}))/coalesce(3*m{i}{i}-1, -1.0))/2 AS s{i}"
+        for i, (j, k) in enumerate(other)) + " FROM q2)")
+    steps.append("q4 AS (SELECT *, " + ", ".join(f"(n{i}+s{j}+s{k})/3 AS c{i}" for i, (j, k) in enumerate(other)) + " FROM q3)")
+    piece = ["least(w1,w2,w3)=w%d" % (i + 1) for i in range(3)]
+    value = " ".join(f"WHEN {piece[i]} THEN " + "+".join(f"{c}*pow(w{j + 1}-w{i + 1},{a})*pow(w{k + 1}-w{i + 1},{b})*pow(3*w{i + 1},{d})" for c, a, b, d in (
+        (f"v{j + 1}", 3, 0, 0), (f"v{k + 1}", 0, 3, 0), ("(c0+c1+c2)/3", 0, 0, 3), (f"3*e{j}{k}", 2, 1, 0), (f"3*e{k}{j}", 1, 2, 0), (f"3*n{j}", 2, 0, 1),
+        (f"3*n{k}", 0, 2, 1), (f"3*c{j}", 1, 0, 2), (f"3*c{k}", 0, 1, 2), (f"6*s{i}", 1, 1, 1))) for i, (j, k) in enumerate(other))
+    steps.append(f"cur AS (SELECT box_index, CASE {value} END AS value FROM q4)")
+    return ", ".join([*mids, *steps])
+
+
+PATCH = _patch()
+
+
+def near_points(k: int) -> str:
+    """CTE nn: the k nearest supplier means of each raster point."""
+    return f"""pd AS (SELECT r.box_index, m.index, m.value, sqrt(pow(m.lat-r.box_lat,2)+pow(m.lon-r.box_lon,2)) AS dist FROM rp r, means m),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY box_index ORDER BY dist, index) AS rn FROM pd) WHERE rn <= {k})"""

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from gridfill.operators import regions, simple, solvers
 from gridfill.operators.cubic import cubic_patch, minimum_curvature
 from gridfill.operators.grid import Grid
-from gridfill.operators.mesh import boxes_in_triangles, delaunay, linear_triangulation, natural_neighbour, with_vertices
+from gridfill.operators.mesh import boxes_in_triangles, delaunay, linear_triangulation, with_vertices
+from gridfill.operators.natural import natural_neighbour
 from gridfill.operators.rbf import tiled_rbf
 from gridfill.operators.variogram import empirical_variogram, fit_model, fit_variogram
 from test_neighbors import lattice

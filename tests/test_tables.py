@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridfill.operators import grid as gr
-from gridfill.operators import prep, regions, summaries
+from gridfill.operators import aggregate, prep, regions, summaries
 from gridfill.operators.aggregate import box_values, exact_quantiles, fill_missing, outside
 from gridfill.plans import fill, registry
 from gridfill.plans.prepare import prepare
@@ -48,14 +48,61 @@ def test_dense_index_is_consecutive(spark):
     assert {r["k"]: r["index"] for r in rows} == {3 * i: i for i in range(1000)}
 
 
-@pytest.mark.parametrize("hot", [1_000_000, 50])
-def test_quantiles_of_hot_groups_are_exact(spark, hot):
+@pytest.mark.parametrize("partition", [1 << 20, 50])
+def test_quantiles_of_hot_groups_are_exact(spark, partition, monkeypatch):
+    monkeypatch.setattr(aggregate, "PARTITION", partition)
     rng = np.random.default_rng(0)
-    pdf = pd.DataFrame({"name": np.where(np.arange(3000) % 3 == 0, "rare", "hot"), "value": rng.normal(size=3000).round(2)})
-    got = {r["name"]: r for r in exact_quantiles(spark.createDataFrame(pdf), ["name"], {"a": 0.0, "q": 0.25, "m": 0.5, "z": 1.0}, hot=hot).collect()}
-    for name, part in pdf.groupby("name"):
+    name = np.where(np.arange(4000) % 3 == 0, "rare", "hot")
+    name[-900:] = [f"n{i // 3}" for i in range(900)]
+    pdf = pd.DataFrame({"k": np.arange(4000) % 2, "name": name, "value": rng.normal(size=4000).round(2)})
+    pdf.loc[pdf.name == "n7", "value"] = 1.5
+    got = {(r["k"], r["name"]): r for r in exact_quantiles(spark.createDataFrame(pdf), ["k", "name"], {"a": 0.0, "q": 0.25, "m": 0.5, "z": 1.0}).collect()}
+    groups = dict(list(pdf.groupby(["k", "name"])))
+    assert got.keys() == groups.keys()
+    for key, part in groups.items():
         for out, p in (("a", 0), ("q", .25), ("m", .5), ("z", 1)):
-            assert got[name][out] == pytest.approx(np.quantile(part.value, p))
+            assert got[key][out] == pytest.approx(np.quantile(part.value, p))
+
+
+def test_quantiles_of_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", 1.0), ("a", inf), ("a", inf), ("b", None), ("c", -inf), ("c", 3.0), (None, 4.0), (None, 6.0), ("d", 2.0), ("d", nan)]
+    got = {r["name"]: (r["lo"], r["hi"]) for r in exact_quantiles(spark.createDataFrame(rows, "name string, value double"), ["name"], {"lo": 0.0, "hi": 1.0}).collect()}
+    assert got.keys() == {"a", "c", "d", None} and got["a"] == (1.0, inf) and got["c"] == (-inf, 3.0) and got[None] == (4.0, 6.0)
+    assert got["d"][0] == 2.0 and np.isnan(got["d"][1])
+    assert exact_quantiles(spark.createDataFrame([], "name string, value double"), ["name"], {"m": 0.5}).count() == 0
+
+
+def test_one_group_spreads_over_all_partitions(spark, monkeypatch):
+    monkeypatch.setattr(aggregate, "PARTITION", 100_000)
+    rows = spark.range(1_000_000).select(F.lit("one").alias("name"), (F.col("id") * 7919 % 1_000_003).cast("double").alias("value"))
+    seen = []
+    keep = aggregate.materialize
+    monkeypatch.setattr(aggregate, "materialize", lambda df: seen.append(keep(df)) or seen[-1])
+    (r,) = exact_quantiles(rows, ["name"], {"q": 0.25, "m": 0.5}).collect()
+    v = np.arange(1_000_000) * 7919 % 1_000_003
+    assert (r["q"], r["m"]) == (np.quantile(v, 0.25), np.median(v))
+    sizes = [x["count"] for x in seen[-1].groupBy("_part").count().collect()]
+    assert len(sizes) >= 8 and max(sizes) < 300_000
+
+
+def test_a_failing_feature_does_not_stop_the_others(spark, monkeypatch):
+    samples, _ = lattice(spark, 9, 0.15)
+    means = spark.createDataFrame(pd.concat([samples.assign(name=n) for n in ("a", "bad", "c")] + [samples.head(3).assign(name="short")]).assign(grid_length=16.0))
+
+    def broken(method, params=None):
+        run = real(method, params)
+        stop = F.udf(lambda name: 1 / 0 if name == "bad" else 0.0, "double")
+        return lambda t, m, g: run(t, m, g).withColumn("value", F.col("value") + stop("name"))
+
+    real = fill.interpolator
+    monkeypatch.setattr(fill, "interpolator", broken)
+    reg, result, outcomes = fill.run_many(registry.empty_registry(spark), {"d": (means, GRID)}, "nn", minimum=4)
+    told = {r["name"]: r for r in outcomes.collect()}
+    assert [told[n]["is_valid"] for n in ("a", "bad", "c", "short")] == [True, False, True, False]
+    assert "ZeroDivisionError" in told["bad"]["reason"] and told["short"]["reason"] == "fewer than 4 samples" and told["a"]["reason"] is None
+    assert {r["name"] for r in result.select("name").distinct().collect()} == {"a", "c"}
+    assert {r["feature_name"]: r["is_valid"] for r in reg.collect()} == {n: told[n]["is_valid"] for n in told}
 
 
 def test_fill_keeps_known_boxes_for_every_method(spark):
