@@ -23,6 +23,21 @@ def sent(name: str, totals: np.ndarray) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([at // CHUNK], pa.int64()), pa.array([packed], pa.binary())], ["name", "chunk", "data"])
 
 
+def sent_few(name: str, places: np.ndarray, numbers: np.ndarray, size: int, kind: type) -> Iterator[pa.RecordBatch]:
+    """The same for an array of `size` that is zero but for `numbers` at the ascending `places`."""
+    chunks = places // CHUNK
+    starts = np.flatnonzero(np.diff(chunks, prepend=-1))
+    rows: tuple[list, list] = ([], [])
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(places)], strict=True):
+        chunk = int(chunks[a])
+        part = np.zeros(min(CHUNK, size - chunk * CHUNK), kind)
+        part[places[a:b] - chunk * CHUNK] = numbers[a:b]
+        rows[0].append(chunk)
+        rows[1].append(pa.compress(part.tobytes(), codec="zstd", asbytes=True))
+    if rows[0]:
+        yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows[0])), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary())], ["name", "chunk", "data"])
+
+
 def summed(parts: DataFrame, size: int, kind: type, finish: Callable[[np.ndarray], bytes], most: int | None = None) -> DataFrame:
     """(name, chunk, data): `finish` of each chunk's sums. `size` is the length of the arrays; sums stop at `most`."""
 

@@ -1,11 +1,11 @@
 """Collocations by top-order marginalisation: only windows of the longest width are counted, each word leading one, padded where
 its piece ends; Spark's ROLLUP then sums successively shorter prefixes, which are the counts of all shorter phrases.
 
-A window is cut before a word that provably cannot go on a phrase of `least` occurrences. The proof is a table of counters, in
-which every word and every pair of neighbours of a language adds to the counter of its hash: a counter below `least` leaves no frequent word or
-pair in it. A cut window loses rare phrases only, so all counts of `least` and more stay exact whatever the hashes do. The
-table has a counter for about eight words of text and at most MOST_BITS bits (16 MB when sent to the tasks); beyond it (some 6 GB of text) more
-windows stay whole, which costs shuffle, not exactness. Windows are added up per slice of text, then by Spark before and
+A window is cut before the first word that provably ends a phrase of fewer than `least` occurrences. The proof is a table of counters, in
+which every word, pair, triple and window of a language adds to the counter of its hash: a counter below `least` leaves no frequent phrase
+in it. A cut window loses rare phrases only, so all counts of `least` and more stay exact whatever the hashes do. The
+table has a counter for about eight words of text and at most 2 ** MOST_BITS (64 MB of bits when sent to the tasks); beyond it (some 25 GB of
+text) more windows stay whole, which costs shuffle, not exactness. Windows are added up per slice of text, then by Spark before and
 after each shuffle, so frequent words, lines and copies arrive as one row per slice.
 
 Defined results: null texts are empty, null languages `und`; a null text of a language adds nothing to its n. Repeated rows count each time.
@@ -34,9 +34,11 @@ WIDTH = 4
 #: Bytes of text cut into words at once.
 SLICE = 4 << 20
 #: Least and most counters, as powers of two; bytes of text a counter.
-LEAST_BITS, MOST_BITS, BYTES_A_COUNTER = 16, 27, 48
+LEAST_BITS, MOST_BITS, BYTES_A_COUNTER = 16, 29, 48
 #: Pieces end at these bytes, words at spaces and tabs. Fixed values.
 KINDS = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
+#: Counters that a task holds before it sends them.
+HELD = 1 << 22
 COLUMNS = [f"w{i}" for i in range(1, WIDTH + 1)]
 
 
@@ -56,25 +58,44 @@ class Slice:
         self.word = coded.indices.to_numpy(zero_copy_only=False)
         self.lang = langs.indices.to_numpy(zero_copy_only=False)[row]
         hashes = [np.fromiter((xxhash.xxh3_64_intdigest(x, seed) for x in a.to_pylist()), np.uint64, len(a)) for seed, a in ((0, self.words), (1, self.langs))]
-        own = _mixed(hashes[0][self.word] ^ hashes[1][self.lang])
-        shift = np.uint64(64 - bits)
-        self.at_word = (own * np.uint64(0xD6E8FEB86659FD93)) >> shift
-        self.at_pair = (_mixed(own[:-1] * np.uint64(3) + hashes[0][self.word[1:]]) * np.uint64(0xD6E8FEB86659FD93)) >> shift
+        shift, word = np.uint64(64 - bits), hashes[0][self.word]
+        own = _mixed(word ^ hashes[1][self.lang])
+        #: For phrases of 1 to WIDTH words: the counter of the one that each word leads, and whether it stands in one piece.
+        self.at, self.there = [], []
+        whole = np.ones(len(word), bool)
+        for n in range(WIDTH):
+            if n:
+                whole = whole[:-1] & self.goes_on[n - 1 : len(word) - 1]
+                own = _mixed(own[:-1] * np.uint64(3) + word[n:])
+            self.at.append((own * np.uint64(0xD6E8FEB86659FD93)) >> shift)
+            self.there.append(whole)
 
 
 def _counters(rows: DataFrame, bits: int, least: int) -> np.ndarray:
-    """Whether the counters of words and pairs reach `least`, as packed bits."""
+    """Whether the counters of phrases reach `least`, as packed bits."""
     kind = np.uint8 if least < 256 else np.uint32
 
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if held:
+            places, numbers = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(places, kind="stable")
+            places, numbers = places[order], numbers[order].astype(np.int64)
+            first = np.flatnonzero(np.diff(places, prepend=-1))
+            yield from added_up.sent_few("", places[first], np.minimum(np.add.reduceat(numbers, first), least), 1 << bits, kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, kind)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for part in slices(batch, 1, SLICE):
                 s = Slice(part, bits)
-                for at in (s.at_word, s.at_pair[s.goes_on[:-1]]):
-                    places, n = np.unique(at, return_counts=True)
-                    total[places] = np.minimum(total[places].astype(np.int64) + n, least)
-        yield from added_up.sent("", total)
+                for at, there in zip(s.at, s.there, strict=True):
+                    places, n = np.unique(at[there].astype(np.uint32), return_counts=True)
+                    if len(places):
+                        held.append((places.astype(np.int64), np.minimum(n, least).astype(kind)))
+                if sum(len(x) for x, _ in held) > HELD:
+                    yield from added(held)
+                    held = []
+        yield from added(held)
 
     parts = rows.mapInArrow(run, added_up.SCHEMA)
     reached = added_up.summed(parts, 1 << bits, kind, lambda total: np.packbits(total >= least).tobytes(), least)
@@ -110,15 +131,16 @@ def windows(docs: DataFrame, least: int, text: str = "text", lang: str = "lang")
                 s = Slice(part, bits)
                 if not len(s.word):
                     continue
-                first = frequent(s.at_word)
-                link = np.zeros(len(first), bool)  # this word and the next may be parts of a frequent phrase
-                link[:-1] = s.goes_on[:-1] & first[:-1] & first[1:] & frequent(s.at_pair)
-                numbers = [np.where(first, s.word + 1, 0)]
-                whole = link
+                count = len(s.word)
+                whole = frequent(s.at[0])
+                numbers = [np.where(whole, s.word + 1, 0)]
+                link = np.zeros(count, bool)  # this word and the next may be parts of a frequent phrase
                 for i in range(1, WIDTH):
-                    numbers.append(np.where(whole[: len(first) - i], s.word[i:] + 1, 0))
-                    numbers[-1] = np.concatenate([numbers[-1], np.zeros(min(i, len(first)), np.int32)])[: len(first)]
-                    whole = whole[: len(link) - i] & link[i:]
+                    whole = whole[:-1] & whole[1:] & s.there[i] & frequent(s.at[i])  # so are both phrases that lack an end
+                    numbers.append(np.zeros(count, np.int32))
+                    numbers[-1][: len(whole)] = np.where(whole, s.word[i:] + 1, 0)
+                    if i == 1:
+                        link[: len(whole)] = whole
                 for some in (link, ~link):
                     at = np.flatnonzero(some)
                     used = [s.lang, *(numbers if some is link else numbers[:1])]
