@@ -301,6 +301,15 @@ def knn(targets: DataFrame, samples: DataFrame, grid: Grid, k: int, *, metric: s
     return found.unionByName(without)
 
 
+def search_levels(targets: DataFrame, samples: DataFrame, grid: Grid, need: int, start_level: int = 1) -> DataFrame:
+    """Targets with the level of the ring search that fills them: the first one, from `start_level` upwards, whose 3x3 ring holds `need`
+    samples. Targets that no level fills are left out. Only counts per cell take part."""
+    placed = _place(targets, grid, "box_lat", "box_lon")
+    known = _place(samples.where(F.col("value").isNotNull()), grid, "lat", "lon")
+    at_home, _, _ = plan_cells(placed, known, grid, need, metric="degrees", exact=False, need=need, start_level=start_level)
+    return at_home.select(*targets.columns, F.col("home").alias("level"))
+
+
 def ring_members(targets: DataFrame, samples: DataFrame, ratio: int) -> DataFrame:
     """Every (target box, sample) pair of the 3x3 ring of cells `ratio` boxes wide, at one level.
 

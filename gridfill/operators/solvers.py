@@ -134,7 +134,7 @@ def kriging_weights(lat, lon, at_lat, at_lon, model: str, params: np.ndarray) ->
 
 def ordinary_kriging(df: DataFrame, k: int = 5, model: str = "linear", params: Column | None = None) -> DataFrame:
     """Ordinary kriging on the first k neighbours with given variogram parameters (array column,
-    `variogram` by default). NULL with fewer than k; a singular system gives the neighbours' mean."""
+    `variogram` by default). NULL with fewer than k or without parameters; a singular system gives the neighbours' mean."""
     if model not in VARIOGRAM_MODELS:
         raise ValueError(f"unknown variogram model {model!r}")
     width = PARAMETER_COUNT[model]
@@ -142,7 +142,7 @@ def ordinary_kriging(df: DataFrame, k: int = 5, model: str = "linear", params: C
     def fit(lat, lon, val, at_lat, at_lon, par):
         w = kriging_weights(lat, lon, at_lat, at_lon, model, par)
         out = np.einsum("bk,bk->b", w, val)
-        return np.where(np.isfinite(out), out, val.mean(1))
+        return np.where(np.isfinite(out), out, np.where(np.isfinite(par).all(1), val.mean(1), np.nan))
 
     params = params if params is not None else F.col("variogram")
     usable = F.when(F.size(params) == width, params).otherwise(F.array(*[F.lit(float("nan"))] * width))

@@ -105,9 +105,11 @@ def grid_rows(df: DataFrame, keys: Sequence[str] = ("datasetName", "name")) -> D
     return df.groupBy(*keys, "box_lat").agg(F.sort_array(F.collect_list(F.struct("box_lon", "value"))).alias("row"))
 
 
-def grid_pivot(df: DataFrame, column: str = "box_y", row: str = "box_x") -> DataFrame:
-    """The value matrix of a small window as columns; Spark refuses more columns than its pivot limit."""
-    return df.groupBy("name", row).pivot(column).agg(F.first("value"))
+def grid_pivot(df: DataFrame, column: str = "box_y", row: str = "box_x", columns: Sequence | None = None) -> DataFrame:
+    """The value matrix of a small window as columns; with `columns` given, Spark need not look for them first, and all of them
+    are there. Spark refuses more columns than its pivot limit."""
+    grouped = df.groupBy("name", row)
+    return (grouped.pivot(column) if columns is None else grouped.pivot(column, list(columns))).agg(F.first("value"))
 
 
 def sorted_coordinates(df: DataFrame, column: str) -> DataFrame:

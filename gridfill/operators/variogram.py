@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from gridfill.operators.grid import Grid
 from gridfill.operators.neighbors import cell_offsets
 from gridfill.operators.solvers import PARAMETER_COUNT, VARIOGRAM_MODELS, semivariance
+from gridfill.session import materialize
 
 KEYS = ["datasetName", "name"]
 BLOCK = 1024            # rows of one side handled at a time inside a tile
+COLUMNS = 1 << 21       # complex numbers of one quantity in a group of grid columns
 
 
 def empirical_variogram(means: DataFrame, grid: Grid, max_lag: float, n_lags: int = 6) -> DataFrame:
@@ -69,10 +71,12 @@ def full_variogram(means: DataFrame, grid: Grid, n_lags: int = 6) -> DataFrame:
     correlation over the grid is a Fourier transform along grid rows and one along columns, each row, block of columns and
     offset row being a group of its own, bounded by the grid's width or height.
     """
-    width, height, block = 2 * grid.y_num, 2 * grid.x_num, 64
+    width, height = 2 * grid.y_num, 2 * grid.x_num
+    block = max(1, min(64, COLUMNS // height))
     step = extent(grid) / n_lags
     known = means.where(F.col("value").isNotNull())
-    centred = known.join(known.groupBy(*KEYS).agg(F.avg("value").alias("_mean")), KEYS).select(
+    mean = materialize(known.groupBy(*KEYS).agg(F.avg("value").alias("_mean")))  # a row per feature: written, so that its size is known
+    centred = known.join(mean, KEYS).select(
         *KEYS, "box_x", "box_y", (F.col("value") - F.col("_mean")).alias("v"))  # near zero, so squares lose no digits
     blocks = range(0, width // 2 + 1, block)
 

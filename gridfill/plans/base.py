@@ -22,13 +22,19 @@ _prepared: dict[tuple, DataFrame] = {}
 
 
 def once(spark: SparkSession, sf_dir: str, what: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A prepared table is written once per application and folder, as a pipeline would keep it."""
-    key = (spark.sparkContext.applicationId, sf_dir, what)
+    """A prepared table is written once per application, folder and state of the folder, as a pipeline would keep it."""
+    key = (spark.sparkContext.applicationId, sf_dir, changed(spark, sf_dir), what)
     if key not in _prepared:
         _prepared[key] = materialize(build())
     return _prepared[key]
 
 
+def changed(spark: SparkSession, folder: str) -> int:
+    """When the newest file or folder in `folder` was written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return max((f.getModificationTime() for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)), default=0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ from gridfill.operators.cubic import minimum_curvature
 from gridfill.operators.rbf import tiled_rbf
 from gridfill.plans import base, fill, oracle, registry
 from gridfill.plans.prepare import prepare
-from gridfill.session import checkpoint_dir
+from gridfill.session import run_folder
 from gridfill.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,13 +53,21 @@ def digits_sql(c: str, unit: float = 0.7071) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/gridfill/out-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/out-{uuid.uuid4().hex}"
 
 
 def with_(ctes: str, select: str) -> str:
     return f"WITH {ctes} {select}"
 
 
+# The order samples' own bounds, grid of 8 km and box centres.
+BOUNDS = "b AS (SELECT datasetName, min(lat) AS lat_min, max(lat) AS lat_max, min(lon) AS lon_min, max(lon) AS lon_max FROM s GROUP BY datasetName)"
+GAPS = "g/111 AS lat_gap, g/(111*cos(pi()*((lat_max+lat_min)/2)/180)) AS lon_gap"
+OWN_SPEC = f"""{oracle.ORDERS}, {BOUNDS}, spec0 AS (SELECT *, {GAPS} FROM (SELECT *, 8e0 AS g FROM b)),
+spec AS (SELECT *, CAST(ceil((lat_max-lat_min)/lat_gap) AS BIGINT) AS x_num, CAST(ceil((lon_max-lon_min)/lon_gap) AS BIGINT) AS y_num FROM spec0)"""
+CENTRES = "round(lat_min + lat_gap/2 + (i//y_num)*lat_gap,6) AS box_lat, round(lon_min + lon_gap/2 + (i%y_num)*lon_gap,6) AS box_lon"
+
+
 # ---------------------------------------------------------------- sources and sinks
 
 WIDE = f"SELECT o_orderkey AS index, round({oracle.lat('o_orderkey')},6) AS lat, round({oracle.lon('o_orderkey')},6) AS lon, o_totalprice AS price FROM orders"
@@ -87,13 +95,13 @@ def s2(spark, sf):
     return means.select("index", rounded("lat").alias("lat"), rounded("lon").alias("lon"), rounded("value").alias("value"))
 
 
-@query("s3_read_boxes", with_(oracle.prelude(), "SELECT box_index, round(box_lat,6) AS box_lat, round(box_lon,6) AS box_lon FROM boxes, (SELECT count(*) AS n FROM lng) WHERE n > 0"))
+@query("s3_read_boxes", with_(OWN_SPEC, f"SELECT CAST(i AS BIGINT) AS box_index, {CENTRES} FROM spec, unnest(range(x_num*y_num)) AS u(i)"))
 def s3(spark, sf):
     path = scratch(spark)
-    # The grid spans the samples' own dataset, at two resolutions.
-    there = [r[0] for r in base.order_long(spark, sf).select("datasetName").distinct().collect()]
-    for g in (8.0, 16.0):
-        tables.append_table(base.grid_of("demo", g).boxes(spark).where(F.col("datasetName").isin(there)), path, ["datasetName", "grid_length"])
+    # The grid spans the samples, at two resolutions.
+    own = gr.Grid.from_samples(base.order_samples(spark, sf), "demo", 8.0)
+    for grid in (own, own.coarser(16.0)):
+        tables.append_table(grid.boxes(spark), path, ["datasetName", "grid_length"])
     return tables.read_boxes(spark, path, "demo", 8.0).select("box_index", rounded("box_lat").alias("box_lat"), rounded("box_lon").alias("box_lon"))
 
 
@@ -268,8 +276,6 @@ def p16(spark, sf):
 
 # ---------------------------------------------------------------- grid
 
-BOUNDS = "b AS (SELECT datasetName, min(lat) AS lat_min, max(lat) AS lat_max, min(lon) AS lon_min, max(lon) AS lon_max FROM s GROUP BY datasetName)"
-GAPS = "g/111 AS lat_gap, g/(111*cos(pi()*((lat_max+lat_min)/2)/180)) AS lon_gap"
 SPECS = f"sp AS (SELECT *, {GAPS} FROM b, unnest([2e0,8e0,32e0]) AS u(g))"
 
 
@@ -288,9 +294,6 @@ def g2(spark, sf):
     return grid_specs(spark, sf).select("datasetName", "grid_length", "x_num", "y_num")
 
 
-OWN_SPEC = f"""{oracle.ORDERS}, {BOUNDS}, spec0 AS (SELECT *, {GAPS} FROM (SELECT *, 8e0 AS g FROM b)),
-spec AS (SELECT *, CAST(ceil((lat_max-lat_min)/lat_gap) AS BIGINT) AS x_num, CAST(ceil((lon_max-lon_min)/lon_gap) AS BIGINT) AS y_num FROM spec0)"""
-CENTRES = "round(lat_min + lat_gap/2 + (i//y_num)*lat_gap,6) AS box_lat, round(lon_min + lon_gap/2 + (i%y_num)*lon_gap,6) AS box_lon"
 
 
 @query("g3_boxes", with_(OWN_SPEC, f"SELECT datasetName, g AS grid_length, CAST(i//y_num AS BIGINT) AS box_x, CAST(i%y_num AS BIGINT) AS box_y, CAST(i AS BIGINT) AS box_index, {CENTRES}, CAST(0 AS BIGINT) AS tag FROM spec, unnest(range(x_num*y_num)) AS u(i)"))
@@ -618,6 +621,16 @@ def a11(spark, sf):
     return agg.distinct_values(base.order_long(spark, sf))
 
 
+WINDOW = ", ".join(f"floor(max(CASE WHEN b.box_y={i} THEN m.value*0.99737e0 END)) AS \"{i}\"" for i in range(8))
+
+
+@query("a13_grid_pivot", with_(oracle.prelude(), f"SELECT f.name, b.box_x, {WINDOW} FROM boxes b CROSS JOIN feats f LEFT JOIN means m ON m.name=f.name AND m.index=b.box_index WHERE b.box_x < 12 AND b.box_y < 8 GROUP BY f.name, b.box_x"))
+def a13_pivot(spark, sf):
+    window = agg.boxes_with_values(GRID.boxes(spark).where("box_x < 12 AND box_y < 8"), base.order_means(spark, sf))
+    scaled = window.withColumn("value", F.floor(F.col("value") * 0.99737).cast("double"))
+    return summaries.grid_pivot(scaled.select("name", "box_x", "box_y", "value"), columns=range(8))
+
+
 @query("a13_grid_rows", with_(oracle.prelude(), """SELECT f.name, round(b.box_lat,6) AS box_lat, string_agg(coalesce(CAST(CAST(floor(m.value*0.99737e0) AS BIGINT) AS VARCHAR),'-'), ';' ORDER BY b.box_lon) AS row
   FROM boxes b CROSS JOIN feats f LEFT JOIN means m ON m.name=f.name AND m.index=b.box_index GROUP BY f.name, b.box_lat"""))
 def a13(spark, sf):
@@ -741,10 +754,14 @@ def i3_gaussian(spark, sf):
     return fit.select("name", *[F.col("variogram")[i].alias(c) for i, c in enumerate(("psill", "range", "nugget"))])
 
 
-@query("i4_kriging")
+LINEAR_FIT = "fit AS (SELECT name, regr_slope(gamma,dist) AS s, avg(gamma) AS g, regr_intercept(gamma,dist) AS c, sum(dist*gamma)/sum(dist*dist) AS t FROM vg GROUP BY name)"
+
+
+@query("i4_kriging", with_(f"{VARIOGRAM}, {LINEAR_FIT}{oracle.knn(5)[len(oracle.prelude()):]}, {oracle.kriging(5)}", f"SELECT name, box_index, {digits_sql('value', 707.1)} AS value FROM kr"))
 def i4(spark, sf):
     fit = variogram.fit_variogram(order_variogram(spark, sf), "linear")
-    return value_cols(solvers.ordinary_kriging(base.order_neighbours(spark, sf).join(fit, KEYS, "left"), 5, "linear"))
+    found = solvers.ordinary_kriging(base.order_neighbours(spark, sf).join(fit, KEYS, "left"), 5, "linear")
+    return found.select("name", "box_index", digits("value", 707.1).alias("value"))
 
 
 # With a pure nugget every neighbour weighs the same, which SQL can say.
@@ -754,9 +771,10 @@ def i4_nugget(spark, sf):
     return value_cols(solvers.ordinary_kriging(base.order_neighbours(spark, sf), 5, "linear", params))
 
 
-@query("i5_local_polynomial")
+@query("i5_local_polynomial", with_(f"{oracle.knn(16)}, {oracle.quadratic(16)}", f"SELECT name, box_index, {digits_sql('x1_1', 707.1)} AS value FROM sol"))
 def i5(spark, sf):
-    return value_cols(solvers.local_polynomial(base.order_neighbours(spark, sf), 16, 2))
+    found = solvers.local_polynomial(base.order_neighbours(spark, sf), 16, 2)
+    return found.select("name", "box_index", digits("value", 707.1).alias("value"))
 
 
 # Degree 1 has a closed form: the plane through the 16 neighbours by normal equations at the box.
@@ -792,6 +810,12 @@ def i7_edge(spark, sf):
     return value_cols(mesh.linear_triangulation(base.order_located(spark, sf), "edge_mean"))
 
 
+# The corner order matters here: counter-clockwise from the smallest number.
+@query("i7_edge_mean_suppliers", with_(f"{oracle.MESH}, {oracle.LOCATED}, o AS (SELECT *, det > 0 AS ccw FROM loc)", f"""SELECT box_index, {digits_sql("0.5*(abs(CASE WHEN ccw THEN w3 ELSE w2 END)*(v1+CASE WHEN ccw THEN v2 ELSE v3 END) + abs(CASE WHEN ccw THEN w2 ELSE w3 END)*(v1+CASE WHEN ccw THEN v2 ELSE v3 END) + abs(w1)*(v2+v3))")} AS value FROM o"""))
+def i7_edge_suppliers(spark, sf):
+    return mesh.linear_triangulation(base.supplier_located(spark, sf), "edge_mean").select("box_index", digits("value").alias("value"))
+
+
 @query("i8_natural_neighbour")
 def i8(spark, sf):
     return value_cols(natural.natural_neighbour(base.order_located(spark, sf), base.order_triangles(spark, sf), GRID))
@@ -926,10 +950,8 @@ def m6(spark, sf):
 @query("m7_stage_rounds", with_(f"{oracle.ring(5, 5, 1)}, tot AS (SELECT name, count(*) AS n FROM home WHERE home<=1 GROUP BY name)", "SELECT h.name, CAST(h.home AS BIGINT) AS level, count(*) AS n_boxes FROM home h GROUP BY ALL"))
 def m7(spark, sf):
     # The boxes each search level fills: what the rounds stage one after another.
-    t = neighbors._place(base.order_targets(spark, sf), GRID, "box_lat", "box_lon")
-    s = neighbors._place(base.order_means(spark, sf), GRID, "lat", "lon")
-    at_home, _, _ = neighbors.plan_cells(t, s, GRID, 5, metric="alpha", exact=False, need=5, start_level=1)
-    return at_home.groupBy("name", F.col("home").cast("long").alias("level")).agg(F.count("*").alias("n_boxes"))
+    staged = neighbors.search_levels(base.order_targets(spark, sf), base.order_means(spark, sf), GRID, 5)
+    return staged.groupBy("name", F.col("level").cast("long").alias("level")).agg(F.count("*").alias("n_boxes"))
 
 
 def run_idw(spark, sf):

@@ -198,3 +198,44 @@ def near_points(k: int) -> str:
     """CTE nn: the k nearest supplier means of each raster point."""
     return f"""pd AS (SELECT r.box_index, m.index, m.value, sqrt(pow(m.lat-r.box_lat,2)+pow(m.lon-r.box_lon,2)) AS dist FROM rp r, means m),
 nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY box_index ORDER BY dist, index) AS rn FROM pd) WHERE rn <= {k})"""
+
+
+def solved(n: int, right: int, source: str, keep: str) -> str:
+    """CTEs after `source`, whose columns a<i>_<j> are a positive definite system of n rows with `right` right sides: each step takes one
+    unknown out of all other rows. The last CTE, `sol`, has the solutions x<i>_<r> and the columns `keep`."""
+    steps, before = [], source
+    for p in range(1, n + 1):
+        cells = [f"a{i}_{j} - a{i}_{p}*a{p}_{j}/a{p}_{p} AS a{i}_{j}" if i != p else f"a{i}_{j}" for i in range(1, n + 1) for j in range(p + 1, n + right + 1)]
+        done = [f"a{i}_{i}" for i in range(1, p + 1)]
+        steps.append(f"el{p} AS (SELECT {keep}, {', '.join(done + cells)} FROM {before})")
+        before = f"el{p}"
+    steps.append(f"sol AS (SELECT {keep}, " + ", ".join(f"a{i}_{n + r}/a{i}_{i} AS x{i}_{r}" for i in range(1, n + 1) for r in range(1, right + 1)) + f" FROM {before})")
+    return ", ".join(steps)
+
+
+def kriging(k: int) -> str:
+    """CTEs after nn and fit (s, g, c, t): ordinary kriging with the linear model. With covariances M - gamma the system is positive definite
+    and the sum of the weights is set by one more right side."""
+    wide = ", ".join(f"max(CASE WHEN rn={i} THEN {c} END) AS {n}{i}" for i in range(1, k + 1) for c, n in (("nn.value", "v"), ("m.lat", "y"), ("m.lon", "x"), ("nn.dist", "d")))
+    gamma = lambda h: f"CASE WHEN {h} > 0 THEN slope*{h}+nugget ELSE 0e0 END"
+    apart = lambda i, j: f"sqrt((y{i}-y{j})*(y{i}-y{j})+(x{i}-x{j})*(x{i}-x{j}))"
+    cells = [f"most - {gamma(apart(i, j))} AS a{i}_{j}" if i != j else f"most AS a{i}_{j}" for i in range(1, k + 1) for j in range(1, k + 1)]
+    cells += [f"most - {gamma(f'd{i}')} AS a{i}_{k + 1}, 1e0 AS a{i}_{k + 2}" for i in range(1, k + 1)]
+    keep = ", ".join(["name", "box_index", *[f"v{i}" for i in range(1, k + 1)]])
+    one, two = (" + ".join(f"x{i}_{r}" for i in range(1, k + 1)) for r in (1, 2))
+    value = " + ".join(f"v{i}*(x{i}_1 + x{i}_2*(1 - ({one}))/({two}))" for i in range(1, k + 1))
+    return f"""model AS (SELECT name, CASE WHEN s<0 THEN 0e0 WHEN c<0 THEN t ELSE s END AS slope, CASE WHEN s<0 THEN g WHEN c<0 THEN 0e0 ELSE c END AS nugget FROM fit),
+wide AS (SELECT nn.name, nn.box_index, {wide}, count(*) AS n FROM nn JOIN means m ON m.name=nn.name AND m.index=nn.index GROUP BY nn.name, nn.box_index),
+k0 AS (SELECT w.*, slope, nugget, 20*(slope+nugget) AS most FROM wide w JOIN model ON model.name=w.name WHERE n={k}),
+k1 AS (SELECT *, {", ".join(cells)} FROM k0),
+{solved(k, 2, "k1", keep)},
+kr AS (SELECT name, box_index, {value} AS value FROM sol)"""
+
+
+def quadratic(k: int) -> str:
+    """CTEs after nn: the polynomial of degree 2 through the k nearest by normal equations, in positions relative to the box."""
+    terms = ["1", "x", "y", "x*x", "x*y", "y*y"]
+    cells = ", ".join([f"sum(({terms[i]})*({terms[j]})) AS a{i + 1}_{j + 1}" for i in range(6) for j in range(6)] + [f"sum(({terms[i]})*v) AS a{i + 1}_7" for i in range(6)])
+    return f"""pt AS (SELECT nn.name, nn.box_index, nn.value AS v, (m.lat-nn.box_lat)*10 AS x, (m.lon-nn.box_lon)*10 AS y FROM nn JOIN means m ON m.name=nn.name AND m.index=nn.index),
+k1 AS (SELECT name, box_index, {cells} FROM pt GROUP BY name, box_index HAVING count(*)={k}),
+{solved(6, 1, "k1", "name, box_index")}"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridfill.functions.text import params_text
+from gridfill.session import materialize
 
 REGISTRY_SCHEMA = ("method_id long, method_name string, params string, dataset_name string, grid_length double, "
                    "feature_name string, aggregate_func string, is_valid boolean")
@@ -95,13 +96,20 @@ def next_method_id(result: DataFrame) -> DataFrame:
 
 
 def start_result(boxes: DataFrame, registry: DataFrame) -> DataFrame:
-    """Every box of the grid, without a value, for every method registered for its dataset and resolution."""
-    found = registry.select("method_id", "dataset_name", "grid_length", "feature_name").collect()  # one row per method run
-    kind = "array<struct<method_id:bigint,dataset:string,grid_length:double,name:string>>"
-    methods = F.array(*(F.struct(*map(F.lit, r)) for r in found)).cast(kind)
-    own = F.filter(methods, lambda m: (m["dataset"] == F.col("datasetName")) & (m["grid_length"] == F.col("grid_length")))
-    return boxes.withColumn("_m", F.explode(own)).select(
-        "datasetName", F.col("_m.name").alias("name"), "box_index", "box_lat", "box_lon", F.lit(None).cast("double").alias("value"), "_m.method_id")
+    """Every box of the grid, without a value, for every method registered for its dataset and resolution.
+
+    The methods of a dataset and resolution are numbered; each box is exploded into as many numbers as there are methods (one count per dataset
+    and resolution comes to the driver) and joined with them by number, so the registry itself stays on Spark.
+    """
+    place = ["dataset_name", "grid_length"]
+    number = F.row_number().over(Window.partitionBy(*place).orderBy("method_id"))
+    methods = materialize(registry.select("method_id", *place, F.col("feature_name").alias("name"), number.alias("_m")))
+    count = F.lit(0)
+    for dataset, length, n in methods.groupBy(*place).agg(F.count("*").alias("n")).collect():
+        count = F.when((F.col("datasetName") == dataset) & (F.col("grid_length") == length), n).otherwise(count)
+    each = boxes.withColumn("_m", F.explode(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))))
+    return each.join(methods.withColumnRenamed("dataset_name", "datasetName"), ["datasetName", "grid_length", "_m"]).select(
+        "datasetName", "name", "box_index", "box_lat", "box_lon", F.lit(None).cast("double").alias("value"), "method_id")
 
 
 def validity_from_result(registry: DataFrame, result: DataFrame) -> DataFrame:
