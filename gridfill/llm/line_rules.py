@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency, in column functions only.
 
-A host's boilerplate are the normalised lines that stand in more than `share` of its distinct texts and in more than `least` of
-them. They are removed; a document that loses most of itself is rejected. A host has at most (lines per text) / share such
+A host's boilerplate are the normalised lines that stand in more than `share` of its distinct texts and in more than `least` (four) of
+them, so that hosts of any size can lose a line. They are removed; a document that loses most of itself is rejected. A host has at most (lines per text) / share such
 lines, so they travel as one short array per host. Rows are judged where they are: only line hashes and counts are shuffled.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own. Exact copies on a host
@@ -76,15 +76,23 @@ def boilerplate(docs: DataFrame, share: float, least: int, host: str = "source",
     return materialize(common.groupBy("_host").agg(F.array_sort(F.collect_set("line")).alias("_common")))
 
 
-def judge(docs: DataFrame, share: float = 0.05, least: int = 20, depleted: float = 0.2, host: str = "source", text: str = "text") -> DataFrame:
+RESULTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_lines", "clean_text", "kept"]
+
+
+def judge(docs: DataFrame, share: float = 0.05, least: int = 4, depleted: float = 0.2, host: str = "source", text: str = "text") -> DataFrame:
     """`docs` with the counts of `with_counts`, n_common_lines, clean_text (without common lines) and kept.
 
     kept is false if the base rules fail or less than `depleted` of the characters in lines remain. The table of common lines is
-    written first, so Catalyst broadcasts it only if its real size is small, and else splits hot hosts in the join.
+    written first, so Catalyst broadcasts it only if its real size is small, and else splits hot hosts in the join. A column of `docs` that is
+    called like a result (RESULTS) gives way to it; all others come back as they are, whatever their names.
     """
+    names = [c for c in docs.columns if c not in RESULTS]
     common = boilerplate(docs, share, least, host, text)
+    # The row travels as one column beside the work columns.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
+    text = f"_row.`{text}`"
     body = F.coalesce(F.col(text), F.lit(""))
-    out = with_counts(docs.withColumn("_host", F.coalesce(host, F.lit(""))), text).join(common, "_host", "left")
+    out = with_counts(rows.withColumn("_host", F.coalesce(F.col(f"_row.`{host}`"), F.lit(""))), text).join(common, "_host", "left")
     seen = F.transform(F.col("_lines"), lambda line: F.struct(F.length(line).alias("n"), F.array_contains("_common", line_hash(line)).alias("common")))
     out = out.withColumn("_seen", F.when(F.col("_common").isNotNull(), seen))
     chars = lambda which: F.aggregate(which, F.lit(0).cast("long"), lambda n, x: n + x["n"])
@@ -97,6 +105,5 @@ def judge(docs: DataFrame, share: float = 0.05, least: int = 20, depleted: float
         .withColumn("clean_text", F.when(F.col("n_common_lines") > 0, F.array_join(stays, "\n")).otherwise(F.col(text)))
         .withColumn("kept", ~F.col("base_failed") & ~F.coalesce(poor, F.lit(False)))
     )
-    new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_lines", "clean_text", "kept"]
     # A filter on kept would be pushed below all these columns and carry a copy of each; it stops at a generator.
-    return out.select(*docs.columns, *new[:-1], F.explode(F.array("kept")).alias("kept"))
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], *RESULTS[:-1], F.explode(F.array("kept")).alias("kept"))

@@ -136,7 +136,7 @@ lines AS (SELECT rid, host, text, line,
     regexp_replace(trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[0-9]+', '0', 'g') AS norm
   FROM (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 sizes AS (SELECT host, count(DISTINCT text) AS n_texts FROM d GROUP BY host),
-common AS (SELECT host, norm FROM lines JOIN sizes USING (host) GROUP BY host, norm, n_texts HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.05 * n_texts),
+common AS (SELECT host, norm FROM lines JOIN sizes USING (host) GROUP BY host, norm, n_texts HAVING count(DISTINCT text) > 4 AND count(DISTINCT text) > 0.05 * n_texts),
 per AS (SELECT rid, count(*) - count(DISTINCT line) AS dup, sum(length(line)) AS chars, count(c.norm) AS n_common, coalesce(sum(length(line)) FILTER (WHERE c.norm IS NOT NULL), 0) AS gone
   FROM lines l LEFT JOIN common c ON c.host = l.host AND c.norm = l.norm GROUP BY rid),
 f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(d.text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
