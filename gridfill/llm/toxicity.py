@@ -17,9 +17,11 @@ count once, toxic first; null labels and ids do not count. Without labels of bot
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from math import exp
 
 import numpy as np
@@ -98,9 +100,12 @@ class Matcher:
                 start = end - size
                 if (start and low[start - 1].isalnum()) or (end < n and low[end].isalnum() and not (term and term[-1] == OPEN)):
                     continue
-                (found if term else harmless).append((start, end, term))
+                (found if term else harmless).append((start, end, term or ""))
         if harmless:
-            found = [x for x in found if not any(a <= x[0] and x[1] <= b for a, b, _ in harmless)]
+            # The exception that starts before a term and reaches furthest decides whether one covers it.
+            harmless.sort()
+            starts, reach = [a for a, *_ in harmless], list(accumulate((b for _, b, _ in harmless), max))
+            found = [x for x in found if not ((at := bisect_right(starts, x[0])) and reach[at - 1] >= x[1])]
         return found
 
     def strength(self, text: str) -> tuple[float, list[str]]:
