@@ -222,6 +222,20 @@ def test_components_of_chains_and_stars(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_stages_leave_columns_with_names_of_their_own_alone(spark):
+    names = ["kept", "n_words", "_words", "_lines", "_host", "_common", "n_common_lines", "clean_text", "_row", "row", "_tox", "found", "tox", "_name", "node", "body", "label", "key", "x", "parts", "none"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for i, c in enumerate(names):
+        docs = docs.withColumn(c, F.concat(F.lit(f"{i}:"), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert len(found) > 20, name
+        assert all(r[c] == f"{i}:{r.doc_id}" for r in found for i, c in enumerate(names)), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(None, None, None, None, None), (9001, "", "en", None, 0), (9002, "too short", "en", "src1", 9)], docs.schema)

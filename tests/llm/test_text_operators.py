@@ -106,6 +106,29 @@ def test_common_lines_go_and_depleted_documents_are_rejected(spark):
     assert line_rules.judge(df, 0.5, 10).filter("kept").count() == sum(r.kept for r in found.values())
 
 
+def test_small_hosts_lose_their_boilerplate(spark):
+    data = [(i, "small", f"Cookie notice of this site\n{' '.join(f'w{chr(97 + i)}{chr(97 + k)}' for k in range(14))}") for i in range(10)]
+    data += [(100 + i, "tiny", f"Shared by four\n{' '.join(f'v{chr(97 + i)}{chr(97 + k)}' for k in range(14))}") for i in range(4)]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string").withColumn("kept", F.lit("mine")).withColumn("_words", F.lit(1))
+    found = {r.doc_id: r for r in line_rules.judge(df).collect()}
+    assert all(found[i].n_common_lines == 1 and "Cookie" not in found[i].clean_text and found[i].kept is True and found[i]["_words"] == 1 for i in range(10))
+    assert all(found[100 + i].n_common_lines == 0 for i in range(4))
+
+
+def test_common_lines_are_found_where_the_sql_is_compared(spark):
+    assert queries.op9_line_rules(spark, "/root/testdata/sf0.01").filter("n_common_lines > 0").count() > 0
+
+
+def test_exceptions_in_a_long_text_take_linear_time():
+    import time
+
+    lexicon = toxicity.Lexicon({"trash": 5.0, "clown": 5.0, "can": 4.5}, toxicity.EXCEPTIONS)
+    matcher, start = toxicity.Matcher(lexicon), time.time()
+    assert matcher.find("trash can " * 100_000 + "trash") == [(1_000_000, 1_000_005, "trash")]
+    assert time.time() - start < 5
+    assert [t for *_, t in matcher.find("circus clown fish clown trash bin can")] == ["clown", "can"]
+
+
 def test_bpe_matches_the_library_and_decodes(docs, odd):
     vocabulary = queries._vocabulary("word_bpe_49k.json")
     library = Tokenizer.from_str(vocabulary)
