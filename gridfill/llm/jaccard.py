@@ -247,11 +247,13 @@ def sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame, size: int, text
     """(node, n, shingles, counts) of the given nodes, from one text of each; counts per bucket bound overlaps."""
     wanted = found.join(nodes, "node").groupBy("node").agg(F.min("body").alias("body"))
     texts = docs.select(F.xxhash64(F.coalesce(col(text), F.lit(""))).alias("body"), F.coalesce(col(text), F.lit("")).alias("text"))
-    texts = texts.join(wanted.select("body"), "body").dropDuplicates(["body"]).select("text")
+    texts = texts.join(wanted, "body").dropDuplicates(["body"]).select("text", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 0)):
-            sets = _shingles(size).of(batch.column(0))
+            sets, nodes = _shingles(size).of(batch.column(0)), batch.column(1).to_pylist()
+            # A text with another's hash has a set of its own, which is not the wanted one.
+            sets = [h for h, node in zip(sets, nodes, strict=True) if _signed([xxhash.xxh3_64_intdigest(h.tobytes())])[0] == node]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(_signed([xxhash.xxh3_64_intdigest(h.tobytes()) for h in sets])),
@@ -262,7 +264,7 @@ def sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame, size: int, text
                 ["node", "n", "shingles", "counts"],
             )
 
-    return materialize(texts.mapInArrow(run, "node bigint, n bigint, shingles binary, counts binary").join(wanted.select("node"), "node", "left_semi"))
+    return materialize(texts.mapInArrow(run, "node bigint, n bigint, shingles binary, counts binary"))
 
 
 def counts_of(h: np.ndarray) -> bytes:
