@@ -278,31 +278,36 @@ def _mesh_points(samples: DataFrame, grid: Grid) -> DataFrame:
 
 
 def _star_udf(k: int, ratio: float):
-    """(number, position, neighbours' numbers and positions, hull) -> struct(ok, slots). Rows are handled so many at a time that
-    their arrays stay small whatever k is."""
+    """(number, position, neighbours' numbers, positions and values, hull) -> struct(ok, triangles). Rows are handled so many at a
+    time that their arrays stay small whatever k is."""
     step = max(1, BATCH // max(k, 1))
 
-    def some(own: pa.Array, x: pa.Array, y: pa.Array, ids: pa.Array, nx: pa.Array, ny: pa.Array, hx: pa.Array, hy: pa.Array) -> pa.Array:
+    def some(own: pa.Array, x: pa.Array, y: pa.Array, ids: pa.Array, nx: pa.Array, ny: pa.Array, values: pa.Array, hx: pa.Array, hy: pa.Array) -> pa.Array:
         corners = np.diff(hx.offsets.to_numpy())
         hull = None
         if len(corners) and corners.min() > 0:
             hull = tuple(_repeat_last(_pad(a, int(corners.max()), np.nan)) for a in (hx, hy))
         sizes = np.diff(ids.offsets.to_numpy())
         width = max(1, int(sizes.max(initial=1)))
-        good, found = stars(own.to_numpy(zero_copy_only=False), x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False), _pad(nx, width, np.nan),
-                            _pad(ny, width, np.nan), _pad(ids, width, np.inf), sizes < k, ratio, hull)
+        near_u, near_v, numbers = _pad(nx, width, np.nan), _pad(ny, width, np.nan), _pad(ids, width, np.inf)
+        good, found = stars(own.to_numpy(zero_copy_only=False), x.to_numpy(zero_copy_only=False), y.to_numpy(zero_copy_only=False), near_u, near_v,
+                            numbers, sizes < k, ratio, hull)
         found = found[good[found[:, 0]]]
         found = found[np.argsort(found[:, 0], kind="stable")]
-        offsets = 2 * np.searchsorted(found[:, 0], np.arange(len(good) + 1))
-        slots = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(found[:, 1:].ravel(), pa.int32()))
-        return pa.StructArray.from_arrays([pa.array(good), slots], ["ok", "slots"])
-
-    def star(own: pa.Array, x: pa.Array, y: pa.Array, ids: pa.Array, nx: pa.Array, ny: pa.Array, hx: pa.Array, hy: pa.Array) -> pa.Array:
-        columns = (own, x, y, ids, nx, ny, hx, hy)
+        offsets = np.searchsorted(found[:, 0], np.arange(len(good) + 1))
+        first = ids.offsets.to_numpy()[:-1].astype(np.int64) - (ids.offsets[0].as_py() if len(ids) else 0)
+        flat = [a.flatten() for a in (ids, nx, ny, values)]
+        corners = [a.take(pa.array(first[found[:, 0]] + found[:, c])) for c in (1, 2) for a in flat]
+        each = pa.StructArray.from_arrays(corners, [f"{n}{c}" for c in (2, 3) for n in ("point", "u", "v", "value")])
+        return pa.StructArray.from_arrays([pa.array(good), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each)], ["ok", "triangles"])
+
+    def star(own: pa.Array, x: pa.Array, y: pa.Array, ids: pa.Array, nx: pa.Array, ny: pa.Array, values: pa.Array, hx: pa.Array, hy: pa.Array) -> pa.Array:
+        columns = (own, x, y, ids, nx, ny, values, hx, hy)
         parts = [some(*(pa.concat_arrays([c.slice(at, step)]) for c in columns)) for at in range(0, len(own), step)]
         return pa.concat_arrays(parts) if parts else some(*columns)
 
-    return F.arrow_udf(star, "struct<ok:boolean,slots:array<int>>")
+    corner = ", ".join(f"{n}{c}:{'bigint' if n == 'point' else 'double'}" for c in (2, 3) for n in ("point", "u", "v", "value"))
+    return F.arrow_udf(star, f"struct<ok:boolean,triangles:array<struct<{corner}>>>")
 
 
 def delaunay(samples: DataFrame, grid: Grid, first_k: int = FIRST_K) -> DataFrame:
@@ -323,10 +328,12 @@ def delaunay(samples: DataFrame, grid: Grid, first_k: int = FIRST_K) -> DataFram
             others = others.withColumns({"hx": F.array().cast("array<double>"), "hy": F.array().cast("array<double>")})
         else:
             others = others.join(hulls, KEYS)
-        done = materialize(others.withColumn("star", star_udf(
-            "box_index", "x", "y", F.col("neighbors.index"), F.col("neighbors.lat"), F.col("neighbors.lon"), "hx", "hy"))
-            .drop("hx", "hy"))
-        found = _triangles_of(done.where("star.ok"))
+        star = star_udf("box_index", "x", "y", *[F.col(f"neighbors.{c}") for c in ("index", "lat", "lon", "value")], "hx", "hy")
+        # The neighbours stay behind: a sample is written with its triangles, or alone if it must look further.
+        done = materialize(others.select(*KEYS, "box_index", "x", "y", "own_value", star.alias("star")))
+        found = done.where("star.ok").withColumn("_t", F.explode("star.triangles")).select(
+            *KEYS, F.col("box_index").alias("point1"), "_t.point2", "_t.point3", F.col("x").alias("u1"), F.col("y").alias("v1"), "_t.u2", "_t.v2",
+            "_t.u3", "_t.v3", F.col("own_value").alias("value1"), "_t.value2", "_t.value3")
         triangles = found if triangles is None else triangles.unionByName(found)
         pending = done.where("not star.ok").select(*KEYS, "box_index", "x", "y", "own_value", F.col("x").alias("u"), F.col("y").alias("v"))
         if pending.isEmpty():
@@ -345,18 +352,6 @@ def _repeat_last(padded: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(padded), padded, fill[:, None])
 
 
-def _triangles_of(done: DataFrame) -> DataFrame:
-    step = F.explode(F.sequence(F.lit(0), F.shiftright(F.size("star.slots"), 1) - 1))
-    rows = done.where(F.size("star.slots") > 0).withColumn("_i", step)
-    at = lambda o: F.get("neighbors", F.get("star.slots", F.col("_i") * 2 + o))
-    b, c = at(0), at(1)
-    return rows.select(
-        *KEYS, F.col("box_index").alias("point1"), b["index"].alias("point2"), c["index"].alias("point3"),
-        F.col("x").alias("u1"), F.col("y").alias("v1"), b["lat"].alias("u2"), b["lon"].alias("v2"),
-        c["lat"].alias("u3"), c["lon"].alias("v3"), F.col("own_value").alias("value1"),
-        b["value"].alias("value2"), c["value"].alias("value3"))
-
-
 # ---------------------------------------------------------------- operators on triangles
 
 def drop_degenerate(triangles: DataFrame, eps: float = 1e-12) -> DataFrame:

@@ -243,11 +243,9 @@ def test_delaunay_ends_on_near_equal_positions(spark):
     lon = np.r_[rng.uniform(-59.5, -53.5, 20), -56.0 + rng.uniform(0, 1e-8, 20)]
     samples = pd.DataFrame({"datasetName": "d", "name": "f", "index": np.arange(40), "lat": lat, "lon": lon, "value": 1.0})
     found = delaunay(spark.createDataFrame(samples), GRID).toPandas()
-    corners = set(found[["point1", "point2", "point3"]].to_numpy().ravel())
-    near = {i for i in corners if i >= 20}
-    assert corners - near == set(range(20)) and 1 <= len(near) <= 4
+    assert set(found[["point1", "point2", "point3"]].to_numpy().ravel()) == set(range(40))  # near is not equal
     area = ((found.u2 - found.u1) * (found.v3 - found.v1) - (found.u3 - found.u1) * (found.v2 - found.v1)).abs().sum() / 2
     u, v = (lat - GRID.lat_min) / GRID.lat_gap, (lon - GRID.lon_min) / GRID.lon_gap
     hull = regions.convex_hulls(spark.createDataFrame(pd.DataFrame({"k": 1, "lat": u, "lon": v})), ["k"]).first()["vertices"]
     x, y = (np.array([p[c] for p in hull]) for c in ("lat", "lon"))
-    assert area == pytest.approx(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2, rel=1e-4)
+    assert area == pytest.approx(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2, rel=1e-9)
