@@ -17,7 +17,7 @@ from gridfill.operators.cubic import minimum_curvature
 from gridfill.operators.rbf import tiled_rbf
 from gridfill.plans import base, fill, oracle, registry
 from gridfill.plans.prepare import prepare
-from gridfill.session import run_folder
+from gridfill.session import materialize, run_folder
 from gridfill.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -741,6 +741,23 @@ def i3_all(spark, sf):
     return v.select("name", "lag", rounded("dist").alias("dist"), F.round(F.col("gamma") / 1e6, 3).alias("gamma"), "n")
 
 
+# Customers at their own positions, all pairs.
+SCATTERED = f"""{oracle.CUSTOMERS}, p AS (SELECT index, lat, lon, balance AS value FROM c),
+ex AS (SELECT sqrt(pow(max(lat)-min(lat),2)+pow(max(lon)-min(lon),2))/6 AS step FROM p),
+sp AS (SELECT sqrt(pow(a.lat-b.lat,2)+pow(a.lon-b.lon,2)) AS d, 0.5*pow(a.value-b.value,2) AS h FROM p a JOIN p b ON a.index<b.index),
+vg AS (SELECT 'balance' AS name, CAST(least(floor(d/step),5) AS BIGINT) AS lag, count(*) AS n, avg(d) AS dist, avg(h) AS gamma FROM sp, ex GROUP BY ALL)"""
+
+
+def customer_long(spark, sf):
+    return prep.wide_to_long(base.customer_samples(spark, sf), ["balance"])
+
+
+@query("i3_variogram_scattered", with_(SCATTERED, f"SELECT name, lag, n, round(dist,4) AS dist, {digits_sql('gamma', 7071.0)} AS gamma FROM vg"))
+def i3_scattered(spark, sf):
+    found = variogram.scattered_variogram(customer_long(spark, sf))
+    return found.select("name", "lag", "n", rounded("dist", 4).alias("dist"), digits("gamma", 7071.0).alias("gamma"))
+
+
 @query("i3_variogram_fit", with_(f"{VARIOGRAM}, fit AS (SELECT name, regr_slope(gamma,dist) AS s, avg(gamma) AS g, regr_intercept(gamma,dist) AS c, sum(dist*gamma)/sum(dist*dist) AS t FROM vg GROUP BY name)",
        "SELECT name, round(CASE WHEN s<0 THEN 0e0 WHEN c<0 THEN t ELSE s END,0) AS slope, round(CASE WHEN s<0 THEN g WHEN c<0 THEN 0e0 ELSE c END,0) AS nugget FROM fit"))
 def i3_fit(spark, sf):
@@ -764,6 +781,21 @@ def i4(spark, sf):
     return found.select("name", "box_index", digits("value", 707.1).alias("value"))
 
 
+# Kriging from scattered samples: variogram, neighbours and solution all at the samples' own positions.
+@query("i4_kriging_scattered", with_(f"""{SCATTERED}, {LINEAR_FIT}, {oracle.spec(8.0)}, {oracle.degree_raster(0.23)},
+means AS (SELECT 'balance' AS name, index, lat, lon, value FROM p),
+nd AS (SELECT r.box_index, m.name, m.index, m.value, sqrt(pow(m.lat-r.box_lat,2)+pow(m.lon-r.box_lon,2)) AS dist FROM rp r, means m),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY box_index ORDER BY dist, index) AS rn FROM nd) WHERE rn <= 5), {oracle.kriging(5)}""",
+       f"SELECT name, box_index, {digits_sql('value', 70.71)} AS value FROM kr"))
+def i4_scattered(spark, sf):
+    samples = customer_long(spark, sf)
+    grid = base.grid_of("customers", 8.0)
+    fit = materialize(variogram.fit_variogram(variogram.scattered_variogram(samples), "linear"))
+    points = gr.degree_raster(spark, grid, 0.23).withColumn("name", F.lit("balance"))
+    near = neighbors.knn(points, samples, grid, 5)
+    return solvers.ordinary_kriging(near.join(fit, KEYS, "left"), 5, "linear").select("name", "box_index", digits("value", 70.71).alias("value"))
+
+
 # With a pure nugget every neighbour weighs the same, which SQL can say.
 @query("i4_kriging_nugget", with_(oracle.knn(5), "SELECT name, box_index, round(avg(value),6) AS value FROM nn GROUP BY name, box_index"))
 def i4_nugget(spark, sf):
