@@ -32,13 +32,13 @@ from gridfill.session import materialize
 #: Words of the longest window.
 WIDTH = 4
 #: Bytes of text cut into words at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Least and most counters, as powers of two; bytes of text a counter.
 LEAST_BITS, MOST_BITS, BYTES_A_COUNTER = 16, 29, 48
 #: Pieces end at these bytes, words at spaces and tabs. Fixed values.
 KINDS = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 #: Counters that a task holds before it sends them.
-HELD = 1 << 22
+HELD = 1 << 20
 COLUMNS = [f"w{i}" for i in range(1, WIDTH + 1)]
 
 
