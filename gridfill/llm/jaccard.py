@@ -38,6 +38,8 @@ from gridfill.session import drop, materialize, sweep
 
 #: Growth of the size classes; buckets of the overlap bound; members of a list that one task compares with as many others.
 GROWTH, BUCKETS, BLOCK = 1.5, 256, 512
+#: Bytes of text cut at once, words that a worker remembers: two workers and their executor share its memory.
+SLICE, WORDS = 2 << 20, 200_000
 #: What verifying one candidate costs, in keys.
 VERIFY = 8
 SALT = np.random.default_rng(7).integers(1, 2**63, 8, dtype=np.uint64) | np.uint64(1)
@@ -55,7 +57,7 @@ class Shingles:
 
     def __init__(self, size: int):
         self.size = size
-        self.table = WordTable(lambda words: [pa.array([xxhash.xxh3_64_intdigest(w) for w in words], pa.uint64())])
+        self.table = WordTable(lambda words: [pa.array([xxhash.xxh3_64_intdigest(w) for w in words], pa.uint64())], WORDS)
 
     def of(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.ascii_lower(texts)
@@ -201,7 +203,7 @@ def keyed(docs: DataFrame, size: int, threshold: int, key: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = _shingles(size)
-        for batch in (part for whole in batches for part in slices(whole, 2)):
+        for batch in (part for whole in batches for part in slices(whole, 2, SLICE)):
             sets = shingles.of(batch.column(2))
             light = [subset_keys(h, upto, threshold) if 0 < len(h) <= upto else ([], []) for h in sets]
             columns = [
@@ -250,7 +252,7 @@ def sets_of(docs: DataFrame, found: DataFrame, nodes: DataFrame, size: int, text
     texts = texts.join(wanted, "body").dropDuplicates(["body"]).select("text", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 0)):
+        for batch in (part for whole in batches for part in slices(whole, 0, SLICE)):
             sets, nodes = _shingles(size).of(batch.column(0)), batch.column(1).to_pylist()
             # A text with another's hash has a set of its own, which is not the wanted one.
             sets = [h for h, node in zip(sets, nodes, strict=True) if _signed([xxhash.xxh3_64_intdigest(h.tobytes())])[0] == node]
