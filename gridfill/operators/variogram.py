@@ -16,6 +16,7 @@ KEYS = ["datasetName", "name"]
 BLOCK = 1024            # rows of one side handled at a time inside a tile
 NODES = 7               # Chebyshev nodes of a cell on each axis
 CELL_POINTS, BLOCK_POINTS = 4096, 50_000  # points of one cell, of one block of cells
+BLOCKS, MOST_POINTS = 16, 1_000_000  # blocks hold more points before there are more blocks, up to this many points
 COLUMNS = 1 << 21       # complex numbers of one quantity in a group of grid columns
 
 
@@ -126,27 +127,34 @@ def full_variogram(means: DataFrame, grid: Grid, n_lags: int = 6) -> DataFrame:
 
 class _Cells:
     """Points in cells, with what pairs of cells need: bounds of the points, moments of the values, and weights of Chebyshev nodes that
-    stand for the points in sums of smooth functions."""
+    stand for the points in sums of smooth functions. A point is all `k` samples of one position, with their mean value and the sum of
+    squares of what they differ from it by."""
 
-    def __init__(self, cell: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.ndarray):
+    def __init__(self, cell: np.ndarray, x: np.ndarray, y: np.ndarray, v: np.ndarray, k: np.ndarray, inner: np.ndarray):
         order = np.argsort(cell, kind="stable")
-        self.x, self.y, self.v = x[order], y[order], v[order]
-        self.cell, self.start, self.n = np.unique(cell[order], return_index=True, return_counts=True)
-        self.end = self.start + self.n
+        self.x, self.y, self.v, self.k, self.inner = x[order], y[order], v[order], k[order].astype(float), inner[order]
+        self.cell, self.start, points = np.unique(cell[order], return_index=True, return_counts=True)
+        self.end = self.start + points
+        self.n = np.add.reduceat(self.k, self.start)
         lows, highs = ([f.reduceat(a, self.start) for a in (self.x, self.y)] for f in (np.minimum, np.maximum))
         self.low, self.high = np.stack(lows, 1), np.stack(highs, 1)
-        self.s, self.ss = np.add.reduceat(self.v, self.start), np.add.reduceat(self.v * self.v, self.start)
+        self.s, self.ss = (np.add.reduceat(a, self.start) for a in (self.k * self.v, self.k * self.v * self.v + self.inner))
         node = np.cos(np.pi * (np.arange(NODES) + 0.5) / NODES)
         middle, half = (self.low + self.high) / 2, np.maximum((self.high - self.low) / 2, 1e-300)
-        where = np.repeat(np.arange(len(self.n)), self.n)
-        terms = []
-        for axis, a in enumerate((self.x, self.y)):
-            t = np.clip((a - middle[where, axis]) / half[where, axis], -1, 1)
-            cosines = np.cos(np.arange(NODES)[:, None] * np.arccos(t))
-            basis = np.cos(np.arange(NODES)[None] * np.arccos(node)[:, None]) * np.where(np.arange(NODES) == 0, 1, 2) / NODES
-            terms.append(basis @ cosines)  # nodes x points: how much of a point each node takes
-        both = terms[0][:, None] * terms[1][None]
-        self.weight = np.add.reduceat(both.reshape(NODES * NODES, -1), self.start, axis=1)
+        self.weight = np.empty((NODES * NODES, len(points)))
+        first = 0
+        while first < len(points):  # some cells at a time: a point takes a number for each node
+            last = max(first + 1, int(np.searchsorted(self.end, self.start[first] + CELL_POINTS, "right")))
+            where, these = np.repeat(np.arange(first, last), points[first:last]), slice(self.start[first], self.end[last - 1])
+            terms = []
+            for axis, a in enumerate((self.x, self.y)):
+                t = np.clip((a[these] - middle[where, axis]) / half[where, axis], -1, 1)
+                cosines = np.cos(np.arange(NODES)[:, None] * np.arccos(t))
+                basis = np.cos(np.arange(NODES)[None] * np.arccos(node)[:, None]) * np.where(np.arange(NODES) == 0, 1, 2) / NODES
+                terms.append(basis @ cosines)  # nodes x points: how much of a point each node takes
+            both = terms[0][:, None] * (terms[1] * self.k[these])[None]
+            self.weight[:, first:last] = np.add.reduceat(both.reshape(NODES * NODES, -1), self.start[first:last] - self.start[first], axis=1)
+            first = last
         grid = [middle[:, axis] + node[:, None] * half[:, axis] for axis in (0, 1)]
         self.node_x = np.repeat(grid[0], NODES, axis=0)
         self.node_y = np.tile(grid[1], (NODES, 1))
@@ -156,6 +164,8 @@ def _add_pairs(a: _Cells, b: _Cells, same: bool, step: float, n_lags: int, apart
     """(count, sum of distances, sum of half squared differences) per lag, over all pairs of a point of `a` and one of `b`."""
     out = np.zeros((3, n_lags))
     lag = lambda d: np.minimum((d / step).astype(np.int64), n_lags - 1)
+    if same:  # samples of one position
+        out[0, 0], out[2, 0] = (a.k * (a.k - 1) / 2).sum(), 0.5 * (a.k * a.inner).sum()
     for i in range(len(a.n)):
         j = np.arange(i if same else 0, len(b.n))
         gap = np.maximum(np.maximum(b.low[j] - a.high[i], a.low[i] - b.high[j]), 0)
@@ -174,12 +184,13 @@ def _add_pairs(a: _Cells, b: _Cells, same: bool, step: float, n_lags: int, apart
             for at in range(b.start[k], b.end[k], BLOCK):
                 other = slice(at, min(at + BLOCK, b.end[k]))
                 d = np.hypot(a.x[mine][:, None] - b.x[other], a.y[mine][:, None] - b.y[other])
-                half = 0.5 * (a.v[mine][:, None] - b.v[other]) ** 2
+                n = a.k[mine][:, None] * b.k[other]
+                half = 0.5 * (n * (a.v[mine][:, None] - b.v[other]) ** 2 + a.inner[mine][:, None] * b.k[other] + a.k[mine][:, None] * b.inner[other])
                 use = np.ones(d.shape, bool)
                 if same and k == i:
                     use = np.arange(a.start[i], a.end[i])[:, None] < np.arange(other.start, other.stop)
                 lags = lag(d[use])
-                for row, w in enumerate((np.ones(len(lags)), d[use], half[use])):
+                for row, w in enumerate((n[use], (n * d)[use], half[use])):
                     out[row] += np.bincount(lags, w, n_lags)
     return out
 
@@ -187,29 +198,36 @@ def _add_pairs(a: _Cells, b: _Cells, same: bool, step: float, n_lags: int, apart
 def scattered_variogram(samples: DataFrame, n_lags: int = 6) -> DataFrame:
     """The same over all pairs of a feature's samples at free positions (lat, lon); lags are parts of the diagonal of its bounds.
 
+    The samples of one position are one point with their number, mean and sum of squares, so that cost follows the number of positions.
     Pairs of cells that lie inside one lag are added up by moments (differences exactly, distances through Chebyshev nodes, to about 1e-6);
     only cells that are close or span a border between lags compare their points. Cells are dealt to blocks, and each pair of blocks is a
-    group of bounded size: a cell with many points is split into several of the same place.
+    group of bounded size: a cell with many points is split into several of the same place. Blocks grow before there are more of them, as
+    each point goes to a group per block.
     """
     known = samples.where(F.col("value").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    bounds = known.groupBy(*KEYS).agg(
-        F.count("*").alias("_n"), F.avg("value").alias("_mean"), F.min("lat").alias("_lat"), F.min("lon").alias("_lon"),
-        (F.max("lat") - F.min("lat")).alias("_h"), (F.max("lon") - F.min("lon")).alias("_w"))
+    bounds = materialize(known.groupBy(*KEYS).agg(
+        F.avg("value").alias("_mean"), F.min("lat").alias("_lat"), F.min("lon").alias("_lon"),
+        (F.max("lat") - F.min("lat")).alias("_h"), (F.max("lon") - F.min("lon")).alias("_w")))  # a row per feature
+    centred = known.join(bounds.select(*KEYS, "_mean"), KEYS).select(*KEYS, "lat", "lon", (F.col("value") - F.col("_mean")).alias("v"))
+    stacks = materialize(centred.groupBy(*KEYS, "lat", "lon").agg(
+        F.avg("v").alias("v"), F.count("v").alias("k"), (F.var_pop("v") * F.count("v")).alias("inner")))
+    bounds = bounds.join(stacks.groupBy(*KEYS).agg(F.count("*").alias("_n")), KEYS)
     cells = F.greatest(F.lit(4), F.least(F.lit(64), F.round(F.sqrt("_n") / 8))).cast("double")
     side = F.greatest(F.greatest("_h", "_w") / cells, F.lit(1e-300))
+    blocks = F.greatest(F.lit(4), F.least(F.lit(BLOCKS), F.ceil(F.col("_n") / BLOCK_POINTS)), F.ceil(F.col("_n") / MOST_POINTS))
     bounds = materialize(bounds.withColumns({"_side": side, "_step": F.greatest(F.sqrt(F.col("_h") * F.col("_h") + F.col("_w") * F.col("_w")) / n_lags, F.lit(1e-300)),
-                                             "_blocks": F.greatest(F.lit(4), F.ceil(F.col("_n") / BLOCK_POINTS)).cast("int")}))  # a row per feature
-    placed = known.join(bounds, KEYS).withColumns({"_cx": F.floor((F.col("lat") - F.col("_lat")) / F.col("_side")), "_cy": F.floor((F.col("lon") - F.col("_lon")) / F.col("_side"))})
+                                             "_blocks": blocks.cast("int")}))  # a row per feature
+    placed = stacks.join(bounds, KEYS).withColumns({"_cx": F.floor((F.col("lat") - F.col("_lat")) / F.col("_side")), "_cy": F.floor((F.col("lon") - F.col("_lon")) / F.col("_side"))})
     full = materialize(placed.groupBy(*KEYS, "_cx", "_cy").agg(F.count("*").alias("_there")))
-    parts = F.pmod(F.xxhash64("index", "lat", "lon"), F.ceil(F.col("_there") / CELL_POINTS)).alias("_part")
+    parts = F.pmod(F.xxhash64("lat", "lon"), F.ceil(F.col("_there") / CELL_POINTS)).alias("_part")
     points = placed.join(full, [*KEYS, "_cx", "_cy"]).select(
-        *KEYS, "lat", "lon", (F.col("value") - F.col("_mean")).alias("v"), "_side", "_step", "_blocks", F.xxhash64("_cx", "_cy", parts).alias("cell"))
+        *KEYS, "lat", "lon", "v", "k", "inner", "_side", "_step", "_blocks", F.xxhash64("_cx", "_cy", parts).alias("cell"))
     points = points.withColumn("mine", F.pmod(F.col("cell"), F.col("_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    dealt = points.select(*KEYS, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cell", "lat", "lon", "v", "_side", "_step")
+    dealt = points.select(*KEYS, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cell", "lat", "lon", "v", "k", "inner", "_side", "_step")
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        made = [_Cells(*(part[c].to_numpy() for c in ("cell", "lat", "lon", "v"))) for part in (pdf[pdf["mine"] == b] for b in (i, j)) if len(part)]
+        made = [_Cells(*(part[c].to_numpy() for c in ("cell", "lat", "lon", "v", "k", "inner"))) for part in (pdf[pdf["mine"] == b] for b in (i, j)) if len(part)]
         if len(made) < 2:
             return pd.DataFrame({"datasetName": pd.Series(dtype=object), "name": pd.Series(dtype=object), "lag": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"),
                                  "s_dist": pd.Series(dtype=float), "s_gamma": pd.Series(dtype=float)})
