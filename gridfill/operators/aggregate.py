@@ -16,20 +16,31 @@ from gridfill.operators.grid import Grid
 from gridfill.session import materialize
 
 KEYS = ["datasetName", "name"]
-PARTITION = 1 << 20     # (group, value) counts of one range partition
+PARTITION = 1 << 18     # (group, value) counts of one range partition
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float], value: str = "value") -> DataFrame:
     """Exact, linearly interpolated quantiles per group; one way for groups of any size.
 
-    Equal values are counted first, map-side, which reads the input once. The counts are sorted into range partitions by (group, value), so a large
-    group spreads over as many partitions as it fills. A partition answers for the groups that lie inside it. Of the
+    Equal values are counted first, a batch at a time, so no task holds more than a batch however many values differ. The counts are sorted into
+    range partitions by (group, value), whose number follows the counts, so a large group spreads over as many partitions as it fills, and there
+    the counts of equal values from different batches are added up. A partition answers for the groups that lie inside it. Of the
     groups that reach over its borders it hands on running counts; how many values stand before each
     partition then tells where their ranks are. NaN counts as larger than any number.
     """
     keys = list(keys)
     spark = df.sparkSession
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    counted = materialize(rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_g", F.to_json(F.struct(*keys)) if keys else F.lit("")))
+    rows = rows.withColumn("_g", F.to_json(F.struct(*keys)) if keys else F.lit(""))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = pa.table({"_g": batch.column(batch.schema.get_field_index("_g")), "_v": batch.column(batch.schema.get_field_index("_v")), "at": np.arange(len(batch))})
+            found = pairs.group_by(["_g", "_v"], use_threads=False).aggregate([("at", "min"), ("at", "count")])
+            first = batch.take(found.column("at_min").combine_chunks())
+            yield pa.RecordBatch.from_arrays([*first.columns, found.column("at_count").combine_chunks()], [*first.schema.names, "_n"])
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    counted = materialize(rows.mapInArrow(count, f"{kinds}{', ' if keys else ''}_v double, _g string, _n long"))
     names, wanted = list(probs), list(probs.values())
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,8 +48,13 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float],
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
-        group, n = table.column("_g"), table.column("_n").to_numpy()
-        value, upto = table.column("_v").to_numpy(), np.cumsum(n)
+        # Equal values of a group stand beside each other; they become one row with the sum of their counts.
+        group, value = table.column("_g"), table.column("_v").to_numpy()
+        other = pc.not_equal(group.slice(1), group.slice(0, len(group) - 1)).to_numpy(zero_copy_only=False)
+        runs = np.flatnonzero(np.concatenate([[True], other | ((value[1:] != value[:-1]) & ~(np.isnan(value[1:]) & np.isnan(value[:-1])))]))
+        n = np.add.reduceat(table.column("_n").to_numpy(), runs)
+        table = table.take(runs)
+        group, value, upto = table.column("_g"), table.column("_v").to_numpy(), np.cumsum(n)
         starts = np.flatnonzero(np.concatenate([[True], pc.not_equal(group.slice(1), group.slice(0, len(group) - 1)).to_numpy(zero_copy_only=False)]))
         before = upto[starts] - n[starts]
         total = np.append(before[1:], upto[-1]) - before
@@ -64,7 +80,6 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], probs: dict[str, float],
         out["_part"] = pa.array(np.full(len(at), TaskContext.get().partitionId(), np.int32))
         yield from pa.table({c: out[c] for c in (*keys, *names, "_v", "_n", "_upto", "_g", "_part")}).to_batches()
 
-    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{kinds}{', ' if keys else ''}{', '.join(f'`{o}` double' for o in names)}, _v double, _n long, _upto long, _g string, _part int"
     # A partition's groups are answered at once, so a partition must be small: its number follows the number of counts.
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + counted.count() // PARTITION)

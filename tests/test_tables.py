@@ -86,6 +86,18 @@ def test_one_group_spreads_over_all_partitions(spark, monkeypatch):
     assert len(sizes) >= 8 and max(sizes) < 300_000
 
 
+def test_counts_of_values_are_bounded_by_a_batch(spark, monkeypatch):
+    """No task holds all values that differ: they are counted batch by batch, and added up where they are sorted."""
+    plans, keep = [], aggregate.materialize
+    monkeypatch.setattr(aggregate, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    rows = spark.range(60_000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") % 3 == 0, F.lit(-0.0)).otherwise((F.col("id") * 7919 % 30_011).cast("double")).alias("value"))
+    got = {r["k"]: (r["lo"], r["m"], r["hi"]) for r in exact_quantiles(rows, ["k"], {"lo": 0.0, "m": 0.5, "hi": 0.9}).collect()}
+    i = np.arange(60_000)
+    v = np.where(i % 3 == 0, 0.0, i * 7919 % 30_011)
+    assert got == {k: tuple(np.quantile(v[i % 2 == k], p) for p in (0.0, 0.5, 0.9)) for k in (0, 1)}
+    assert "Aggregate" not in plans[0]
+
+
 def test_a_failing_feature_does_not_stop_the_others(spark, monkeypatch):
     samples, _ = lattice(spark, 9, 0.15)
     means = spark.createDataFrame(pd.concat([samples.assign(name=n) for n in ("a", "bad", "c")] + [samples.head(3).assign(name="short")]).assign(grid_length=16.0))
