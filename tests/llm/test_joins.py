@@ -105,6 +105,44 @@ def test_top_k_with_odd_vectors(spark, monkeypatch):
     assert topk.top_k(topk.quantised(df.filter("vec_id in (0, 1)").distinct()), F.col("vec_id") % 50 == 0).count() == 1
 
 
+def brute_top_k(rows, k):
+    """Of (id, vector) rows, whose ids may repeat; queries are the ids that 50 divides."""
+    width = max(len(v) for _, v in rows)
+    padded = [(i, [*v, *[0] * (width - len(v))]) for i, v in rows]
+    scores = defaultdict(list)
+    for q, a in padded:
+        if q % 50 == 0:
+            scores[q] += [(-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in padded if i != q]
+    return sorted((q, n + 1, i, -s) for q, found in scores.items() for n, (s, i) in enumerate(sorted(found)[:k]))
+
+
+def test_top_k_sends_no_queries_to_the_driver(spark):
+    df = spark.range(400).select(F.col("id").alias("vec_id"), F.array((F.col("id") % 7).cast("float"), (F.col("id") % 11).cast("float")).alias("embedding"))
+    found = topk.top_k(topk.quantised(df), F.col("vec_id") % 50 == 0)
+    assert found.count() == 40
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")  # whatever Catalyst takes for small
+    try:
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Broadcast" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("most", [3, 2**20, 2**28])
+def test_top_k_over_shelves_of_several_blocks(spark, monkeypatch, most):
+    for name, value in (("BLOCK", 16), ("QUERIES", 4), ("NUMBERS", 256), ("SHELVES", 2), ("HELD", 3)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(most)
+    rows = [(i, [rng.randint(-most, most) for _ in range(rng.choice([1, 5, 6, 40]))]) for i in range(200)]
+    rows += [(50, [rng.randint(-most, most) for _ in range(6)]) for _ in range(40)]  # an id of many vectors
+    rows += [(i, [rng.randint(-3, 3) for _ in range(6)]) for i in range(200, 300)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>").distinct().repartition(3)
+    found = topk.top_k(df, F.col("vec_id") % 50 == 0, 4)
+    assert sorted(map(tuple, found.collect())) == brute_top_k({(i, tuple(v)) for i, v in rows}, 4)
+
+
 def shingles(text, size):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else [])
